@@ -7,24 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
+from .common import new_path
 from .dedup import exact_dedup
+from .packing import pack, token_pieces
 from .sharding import shard_documents
+from .sstable import read_table, write_table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; the files are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    return decode(encode(_documents(spark, sf_dir), path), path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir), shards=8)
 
 
+def op8_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    manifest = write_table(_documents(spark, sf_dir), path, new_path(spark, "sst"), end_id=2)
+    return read_table(manifest).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="max")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encoding, op4_best_fit_packing, op5_sharding, op8_token_tables, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
