@@ -11,8 +11,11 @@ from .bpe import decode, encode
 from .common import new_path
 from .dedup import exact_dedup
 from .packing import pack, token_pieces
+from .quality import score_quality
 from .sharding import shard_documents
 from .sstable import read_table, write_table
+from .topk import top_k
+from .toxicity import score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +48,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir), shards=8)
 
 
+def _held_out(folds: int, fold: int) -> str:
+    return f"crc32(cast(cast(doc_id as string) as binary)) % {folds} = {fold}"
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = _held_out(4, 2)
+    scored = score_toxicity(_documents(spark, sf_dir), labels, "toxic", use=f"not ({held})")
+    return scored.select("doc_id", F.expr(held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = _held_out(3, 1)
+    scored = score_quality(_documents(spark, sf_dir), labels, "quality", use=f"not ({held})")
+    return scored.select("doc_id", F.expr(held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
     manifest = write_table(_documents(spark, sf_dir), path, new_path(spark, "sst"), end_id=2)
@@ -56,16 +77,28 @@ def op8_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="max")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encoding, op4_best_fit_packing, op5_sharding, op8_token_tables, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encoding, op4_best_fit_packing, op5_sharding, op6_toxicity, op7_quality, op8_token_tables, op9_top_k, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_top_k": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                              list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+                       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+                 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
         "op10_exact_dedup": """
             WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
                        FROM documents)
