@@ -11,6 +11,7 @@ from .bpe import decode, encode
 from .common import new_path
 from .dedup import exact_dedup
 from .packing import pack, token_pieces
+from .pii import KINDS, personal_data
 from .quality import score_quality
 from .sharding import shard_documents
 from .sstable import read_table, write_table
@@ -39,6 +40,14 @@ def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_documents(spark, sf_dir))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
@@ -86,7 +95,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encoding, op4_best_fit_packing, op5_sharding, op6_toxicity, op7_quality, op8_token_tables, op9_top_k, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encoding, op2_pii, op4_best_fit_packing, op5_sharding, op6_toxicity, op7_quality, op8_token_tables, op9_top_k, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
