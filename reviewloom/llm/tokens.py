@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 300_000
 #: Fixed value: marks that end a word in ordinary prose and are one run of the pre-tokenizers' punctuation class.
 _TAIL = ".,;:!?%&*$#|"
 _NEWLINE = "\n"
