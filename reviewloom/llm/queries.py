@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import decode, encode
 from .common import new_path
 from .dedup import exact_dedup
+from .jaccard import near_duplicates
 from .packing import pack, token_pieces
 from .pii import KINDS, personal_data
 from .quality import score_quality
@@ -48,6 +49,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), shingle=3, percent=90)[0]
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=0, capacity=2048)
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
@@ -95,7 +100,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encoding, op2_pii, op4_best_fit_packing, op5_sharding, op6_toxicity, op7_quality, op8_token_tables, op9_top_k, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encoding, op2_pii, op3_ngram_jaccard, op4_best_fit_packing, op5_sharding, op6_toxicity, op7_quality, op8_token_tables, op9_top_k, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
