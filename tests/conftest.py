@@ -1,7 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
