@@ -53,7 +53,7 @@ POL = TLEX + """, sp AS (SELECT doc_id, sent_idx, sum(coalesce(pos, 0)) AS p, su
  pol AS (SELECT doc_id, sent_idx, (CASE WHEN flip THEN -1 ELSE 1 END) * CASE WHEN abs(p - n) / c >= 0.1 THEN CASE WHEN p > n THEN p ELSE -n END ELSE 0 END AS polarity FROM sp)"""
 ASP = POL + """, top AS (SELECT lemma, count(DISTINCT doc_id) AS n_reviews FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY lemma ORDER BY n_reviews DESC, lemma LIMIT 20),
  occ AS (SELECT DISTINCT lemma, doc_id, sent_idx FROM tokens SEMI JOIN top USING (lemma)),
- rev AS (SELECT lemma, doc_id, doc_id % 5 + 1 AS rating, round(avg(polarity), 6) AS blob, count(*) AS n_sents, min(sent_idx) AS first_sent FROM occ JOIN pol USING (doc_id, sent_idx) GROUP BY ALL),
+ rev AS (SELECT lemma, doc_id, doc_id % 5 + 1 AS rating, floor(avg(polarity) * 1e6) / 1e6 AS blob, count(*) AS n_sents, min(sent_idx) AS first_sent FROM occ JOIN pol USING (doc_id, sent_idx) GROUP BY ALL),
  cls AS (SELECT *, CASE WHEN rating = 5 AND blob > 0.1 THEN 'pos' WHEN rating = 4 AND blob > 0.45 THEN 'pos' WHEN rating = 4 AND blob > 0.2 THEN CASE WHEN n_sents >= 4 THEN 'pos' ELSE 'mixed' END
    WHEN rating = 3 AND blob > 0.7 THEN 'pos' WHEN rating <= 3 AND blob < 0 THEN 'neg' WHEN rating = 2 AND blob <= 0.175 THEN CASE WHEN n_sents < 0 THEN 'neg' ELSE 'mixed' END
    WHEN rating = 1 AND blob <= 0.2 THEN CASE WHEN n_sents < 0 THEN 'neg' ELSE 'mixed' END ELSE 'mixed' END AS class FROM rev)"""
@@ -213,7 +213,7 @@ def _aspect_reviews(t: Tables) -> DataFrame:
     a = tokens(t)
     occ = a.join(F.broadcast(_top(a).select("lemma")), "lemma", "left_semi").select("lemma", "doc_id", "sent_idx").distinct()
     pol = L.sentence_polarity(a, lexicon(a, "word"))
-    per = occ.join(pol, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id").agg(F.round(F.avg("polarity"), 6).alias("blob"), F.count("*").alias("n_sents"), F.min("sent_idx").alias("first_sent"))
+    per = occ.join(pol, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id").agg((F.floor(F.avg("polarity") * 1e6) / 1e6).alias("blob"), F.count("*").alias("n_sents"), F.min("sent_idx").alias("first_sent"))
     per = per.withColumn("rating", F.col("doc_id") % 5 + 1)
     return per.withColumn("class", L.polarity_class(F.col("rating"), F.col("blob"), F.col("n_sents")))
 
