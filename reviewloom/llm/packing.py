@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encode
-from .common import written
+from .common import fresh, written
 
 CAPACITY = 2048
 #: Lengths, and so the state of the rounds on the driver, are bounded by this.
@@ -117,14 +117,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
         raise ValueError(f"capacity must be from 1 to {MOST_CAPACITY}")
     src = pieces.drop("sequence_id", "offset")
     names = src.columns
+    len_, task_, own_, first_ = (fresh(src, c) for c in ("_len", "_task", "_own", "_first"))
     length = F.col(length_col).cast("int")
-    checked = src.withColumn("_len", F.when(length.between(1, capacity), length).otherwise(F.raise_error(F.lit("a piece's length is out of range")).cast("int")))
+    checked = src.withColumn(len_, F.when(length.between(1, capacity), length).otherwise(F.raise_error(F.lit("a piece's length is out of range")).cast("int")))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         for b in batches:
-            n = b.column(b.schema.get_field_index("_len")).to_numpy()
+            n = b.column(b.schema.get_field_index(len_)).to_numpy()
             order = np.argsort(n, kind="stable")
             ordered = n[order]
             starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(n) else np.array([], int)
@@ -132,23 +133,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             own = np.empty(len(n), np.int64)
             own[order] = within + seen[ordered]
             seen += np.bincount(n, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), task, np.int64)), pa.array(own)], names=[*b.schema.names, "_task", "_own"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), task, np.int64)), pa.array(own)], names=[*b.schema.names, task_, own_])
 
-    schema = T.StructType([*checked.schema.fields, T.StructField("_task", T.LongType()), T.StructField("_own", T.LongType())])
+    schema = T.StructType([*checked.schema.fields, T.StructField(task_, T.LongType()), T.StructField(own_, T.LongType())])
     ranked = written(checked.mapInArrow(numbered, schema), "pack-pieces")
-    per_task = ranked.groupBy("_task", "_len").agg(F.count("*").alias("_n"))
-    firsts = per_task.select("_task", "_len", (F.sum("_n").over(W.partitionBy("_len").orderBy("_task")) - F.col("_n")).alias("_first"))
-    counts = {r["_len"]: r["n"] for r in per_task.groupBy("_len").agg(F.sum("_n").alias("n")).collect()}
+    per_task = ranked.groupBy(task_, len_).agg(F.count("*").alias("_n"))
+    firsts = per_task.select(task_, len_, (F.sum("_n").over(W.partitionBy(len_).orderBy(task_)) - F.col("_n")).alias(first_))
+    counts = {r[len_]: r["n"] for r in per_task.groupBy(len_).agg(F.sum("_n").alias("n")).collect()}
     table = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     key = (table[:, 0] << 44) | table[:, 1]
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = {n: c for n, c in zip(b.schema.names, b.columns, strict=True)}
-            n, rank = cols["_len"].to_numpy().astype(np.int64), cols["_own"].to_numpy() + cols["_first"].to_numpy()
+            n, rank = cols[len_].to_numpy().astype(np.int64), cols[own_].to_numpy() + cols[first_].to_numpy()
             at = np.searchsorted(key, (n << 44) | rank, side="right") - 1
             out = [*(cols[c] for c in names), pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "sequence_id", "offset"])
 
     placed = T.StructType([*src.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.join(firsts, ["_task", "_len"]).mapInArrow(looked_up, placed)
+    return ranked.join(firsts, [task_, len_]).mapInArrow(looked_up, placed)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import fresh, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -179,18 +179,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     named = lambda kind, spans: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     extra = F.coalesce("more", F.array().cast("array<struct<start:int,stop:int>>"))
-    return found.join(more, ["doc_id", "text_hash"], "left").select(
-        "doc_id", "text_hash", F.concat(*[named(k, F.col(k)) for k in KINDS], named(CONTEXT, extra)).alias("spans")
+    same = found["doc_id"].eqNullSafe(more["doc_id"]) & (found["text_hash"] == more["text_hash"])
+    return found.join(more, same, "left").select(
+        found["doc_id"], found["text_hash"], F.concat(*[named(k, F.col(k)) for k in KINDS], named(CONTEXT, extra)).alias("spans")
     )
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span of its text replaced by its kind in angle brackets; overlapping spans become the first
     of them. Null texts stay null; all columns and their order are kept."""
-    spans = personal_data(docs, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hash"])
+    id_, hash_, spans_ = (fresh(docs, c) for c in ("_id", "_hash", "_spans"))
+    found = personal_data(docs, id_col, text_col).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    spans = found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(spans, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left")
+    ordered = F.array_sort(F.transform(F.col(spans_), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     built = F.aggregate(
         ordered,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -203,5 +206,5 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    clean = F.when(F.col("_spans").isNotNull(), built).otherwise(F.col(text_col))
+    clean = F.when(F.col(spans_).isNotNull(), built).otherwise(F.col(text_col))
     return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-MEMO_PIECES = 300_000
+#: Pieces in the newer half of a memo. Once it is full, it becomes the older half, whose pieces go unless they recur.
+MEMO_PIECES = 200_000
 #: Fixed value: marks that end a word in ordinary prose and are one run of the pre-tokenizers' punctuation class.
 _TAIL = ".,;:!?%&*$#|"
 _NEWLINE = "\n"
@@ -51,6 +52,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._letters = _byte_letters()
         self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._plain: dict[str, bytes] = {}
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         steps = [s.get("type") for s in (norm or {}).get("normalizers", [])]
@@ -62,6 +64,11 @@ class Encoder:
         else:
             self.ids = self._whole
 
+    def _room(self) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        if len(self._memo) > MEMO_PIECES:
+            self._older, self._memo = self._memo, {}
+        return self._memo, self._older
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -102,10 +109,10 @@ class Encoder:
         try:
             return b"".join(map(memo.__getitem__, pieces))
         except KeyError:
-            if len(memo) > MEMO_PIECES:
-                memo.clear()
+            memo, older = self._room()
             for p in set(pieces).difference(memo):
-                memo[p] = self._word(p) if p else b""
+                got = older.get(p)
+                memo[p] = got if got is not None else self._word(p) if p else b""
             return b"".join(map(memo.__getitem__, pieces))
 
     # byte-level: a single blank belongs to what follows it, a single line end stands alone
@@ -153,10 +160,10 @@ class Encoder:
             try:
                 return self._literal(first) + b"".join(map(memo.__getitem__, keys))
             except KeyError:
-                if len(memo) > MEMO_PIECES:
-                    memo.clear()
+                memo, older = self._room()
                 for k in set(keys).difference(memo):
-                    memo[k] = self._spaced(k)
+                    got = older.get(k)
+                    memo[k] = got if got is not None else self._spaced(k)
                 return self._literal(first) + b"".join(map(memo.__getitem__, keys))
         except _Uneven:
             return b"".join(map(self._literal, _SAFE_CUT.split(text)))
