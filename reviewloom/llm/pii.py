@@ -176,13 +176,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .join(values, "value", "left_semi")
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("more"))
+        .select(F.col("doc_id").alias("more_id"), F.col("text_hash").alias("more_hash"), "more")
     )
     named = lambda kind, spans: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     extra = F.coalesce("more", F.array().cast("array<struct<start:int,stop:int>>"))
-    same = found["doc_id"].eqNullSafe(more["doc_id"]) & (found["text_hash"] == more["text_hash"])
-    return found.join(more, same, "left").select(
-        found["doc_id"], found["text_hash"], F.concat(*[named(k, F.col(k)) for k in KINDS], named(CONTEXT, extra)).alias("spans")
-    )
+    same = F.col("doc_id").eqNullSafe(F.col("more_id")) & (F.col("text_hash") == F.col("more_hash"))
+    return found.join(more, same, "left").select("doc_id", "text_hash", F.concat(*[named(k, F.col(k)) for k in KINDS], named(CONTEXT, extra)).alias("spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
