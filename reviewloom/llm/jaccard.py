@@ -17,6 +17,10 @@ from .words import mixed, shingles, word_hashes
 
 #: Members up to which a prefix token's bucket is joined with itself; above, members meet its leader only.
 BUCKET = 128
+#: After each round buckets up to twice as large are joined with themselves, to so many times the first size.
+_MOST_GROWTH = 8
+#: Light members up to which they are joined with all of a larger bucket.
+_FEW_LIGHTS = 16
 #: Identifiers up to which a list of them is broadcast; above, it is joined.
 _BROADCAST_IDS = 1_000_000
 _SET = "doc_id long, n int, sig1 long, sig2 long"
@@ -110,27 +114,40 @@ def _prefixes(members: DataFrame, slots: Column) -> DataFrame:
 
 
 def _candidates(rule: _Rule, members: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) from small buckets that pass every filter, and (grp, x, y) of members y with leaders x."""
-    posts = members.select("grp", F.explode("a").alias("tok"), "doc", "n", "size", "own", "tied")
-    buckets = posts.groupBy("grp", "tok").agg(F.count("*").alias("m"), F.min(F.struct("own", "doc")).alias("lead")).filter("m > 1")
+    """Pairs (x, y) that pass every filter, and (x, y) of members y with leaders x.
+
+    Tokens of its own set a member apart from all others, so that two members link only if one of them is light, with
+    few of its own for its size. Buckets without a light member are left out, in large ones with few lights those
+    meet all members, and the members of large ones with many lights meet a leader, the one with the fewest own.
+    """
+    light = F.col("own") * (rule.b + rule.a) <= F.col("n") * (rule.b - rule.a)
+    posts = members.select("grp", F.explode("a").alias("tok"), "doc", "n", "size", "own", "tied", light.alias("light"))
+    buckets = (
+        posts.groupBy("grp", "tok")
+        .agg(F.count("*").alias("m"), F.count_if("light").alias("lights"), F.min(F.struct("own", "doc")).alias("lead"))
+        .filter("m > 1 and lights > 0")
+    )
     held = posts.join(buckets, ["grp", "tok"])
-    small = held.filter(F.col("m") <= bucket)
-    sides = [small.select("grp", "tok", *[F.col(c).alias(f"{c}{s}") for c in ("doc", "n", "size", "own", "tied")]) for s in "xy"]
+    whole, few = F.col("m") <= bucket, F.col("lights") <= _FEW_LIGHTS
+    side = lambda rows, s, *more: rows.select("grp", "tok", *more, *[F.col(c).alias(f"{c}{s}") for c in ("doc", "n", "size", "own", "tied", "light")])
+    sides = [side(held.filter(whole | (few & F.col("light"))), "x", "m"), side(held.filter(whole | few), "y")]
     reach = F.least(F.col("sizex") - F.col("ownx"), F.col("sizey") - F.col("owny"))  # of the intersection
+    most = rule.difference(F.col("nx"), F.col("ny"))
     fits = (
-        (F.col("docx") < F.col("docy"))
+        ((F.col("docx") < F.col("docy")) | ((F.col("m") > bucket) & ~F.col("lighty")))
         & rule.sizes(F.col("nx"), F.col("ny"))
         & ~(F.col("tiedx") & F.col("tiedy"))
-        & (2 * reach >= F.col("sizex") + F.col("sizey") - rule.difference(F.col("nx"), F.col("ny")))
+        & (F.col("ownx") + F.col("owny") <= most)
+        & (2 * reach >= F.col("sizex") + F.col("sizey") - most)
     )
     l, r = sides[0].alias("l"), sides[1].alias("r")
     met = l.join(r, (F.col("l.grp") == F.col("r.grp")) & (F.col("l.tok") == F.col("r.tok")) & fits)
-    pairs = met.select(F.col("l.grp").alias("grp"), F.col("docx").alias("x"), F.col("docy").alias("y")).distinct()
+    pairs = met.select(F.col("l.grp").alias("grp"), F.least("docx", "docy").alias("x"), F.greatest("docx", "docy").alias("y")).distinct()
     for side in "xy":
         other = members.select("grp", F.col("doc").alias(side), F.col("b").alias(f"b{side}"), F.col("c").alias(f"c{side}"))
         pairs = pairs.join(other, ["grp", side])
     pairs = pairs.filter(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y").distinct()
-    stars = held.filter((F.col("m") > bucket) & (F.col("doc") != F.col("lead.doc"))).select(F.col("lead.doc").alias("x"), F.col("doc").alias("y")).distinct()
+    stars = held.filter(~whole & ~few & (F.col("doc") != F.col("lead.doc"))).select(F.col("lead.doc").alias("x"), F.col("doc").alias("y")).distinct()
     return pairs, stars
 
 
@@ -175,11 +192,11 @@ def near_duplicates(
     Documents with equal sets are one representative, the smallest doc_id. Representatives meet where they share
     a token in their prefixes: one under an order with rare tokens first, and then also one each under two hash
     orders. To save counting, one token class comes first in all orders, and only its tokens are counted. In a
-    bucket of more than `bucket` members all are compared with its leader, and then with each other only by what
-    they differ from it in: two sets differ as much as their differences from the leader do, and two that could
-    link without sharing any of those are both linked to the leader. So copies in any number cost a comparison
-    each, and no link between different texts is lost: documents that link end in one component, by way of
-    verified links.
+    bucket of more than `bucket` members, those with few tokens of their own are compared with all if they are few;
+    if they are many, all are compared with a leader, and then with each other only by what they differ from it in:
+    two sets differ as much as their differences from the leader do, and two that could link without sharing any of
+    those are both linked to the leader. So copies in any number cost a comparison each, and no link between
+    different texts is lost: documents that link end in one component, by way of verified links.
 
     A null or empty text, or one without words, has an empty set and links with nothing; rows that repeat a
     doc_id get a row each and count as one document if their texts differ; an empty table gives no rows; other
@@ -203,9 +220,11 @@ def near_duplicates(
     )
     slots = F.col("n") - F.ceil(F.col("n") * rule.a / rule.b) + 1
     links: list[DataFrame] = []
+    rounds = 0
     while True:
         prefixed = written(_prefixes(members, slots), "jaccard-prefixes")
-        pairs, stars = _candidates(rule, prefixed, bucket)
+        pairs, stars = _candidates(rule, prefixed, bucket * min(_MOST_GROWTH, 1 << rounds))
+        rounds += 1
         asked = written(
             pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True))).groupBy("x", "y").agg(F.max("star").alias("star")),
             "jaccard-pairs",
