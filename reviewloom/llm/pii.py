@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
-ROUNDS = 3
+#: The graph has settled when no further pattern or value is sure and no confidence rose by as much.
+SETTLED = 0.01
 #: Least share of sure identifiers among what a pattern's context holds, and least distinct ones of them.
 LEAST_SCORE, LEAST_SEEDS = 0.8, 3
 
@@ -22,15 +24,29 @@ _PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: A word without letters and with five digits or more, or one with an at sign.
-_CANDIDATE = r"(?<!\S)(?:[^\s\p{L}@0-9]*+[0-9](?:[^\s\p{L}@0-9]*+[0-9]){4}[^\s\p{L}@]*+(?!\S)|[^\s@]*+@\S*+)"
+#: A word with a digit or an at sign. Such a word counts if it has an at sign, five digits, or a letter and five
+#: letters and digits.
+_CANDIDATE = r"(?<!\S)[^\s@0-9]*+[0-9@]\S*+"
+#: Words with digits, one blank between them: as many as there are in a row, at least two.
+_NUMBERED = r"[^\s@0-9]*+[0-9][^\s@]*+(?!\S)"
+_RUN = rf"(?<!\S){_NUMBERED}(?:[^\S\n]{_NUMBERED})++"
+#: Letters and digits of the longest identifier written with blanks, an account number.
+_LONGEST = 34
 _MARKS = r"""[\s.,;:!?()\[\]{}"'<>]"""
+#: Marks before an identifier; a bracket that is closed within it is its own.
+_HEAD_MARKS = r"""^(?:(?!\()[\s.,;:!?()\[\]{}"'<>]|\((?![^()]*\)[^()]*[\p{L}0-9]))+"""
+_EMPTY = "array<struct<start:int,stop:int,value:string,patterns:array<string>>>"
 
 
 def _hits(text: Column, pattern: str) -> Column:
     """array<struct<start,stop,value,before,after>> of a pattern's matches in code points; before and after are
     what stands around, with the neighbouring match. What lambdas need is zipped in, so that it is made once."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    made = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
+    return F.element_at(F.transform(made, lambda m: _placed(m["gaps"], m["found"])), 1)
+
+
+def _placed(gaps: Column, found: Column) -> Column:
+    """The structs of _hits from matches and what is between them."""
     none = F.array(F.lit(""))
     starts = F.aggregate(
         F.arrays_zip(found.alias("v"), gaps.alias("g")),  # one more gap than matches
@@ -85,72 +101,95 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _patterns(before: Column, after: Column) -> Column:
+    """The patterns that whole words around a place make: the two words before, and the word before with the word
+    after; digits count as one digit."""
+    before, after = F.regexp_replace(F.lower(before), "[0-9]", "9"), F.regexp_replace(F.lower(after), "[0-9]", "9")
+    two, one = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(before, r"(\S+)\s*$", 1)
+    nxt = F.regexp_extract(after, r"^\s*(\S+)", 1)
+    return F.array_compact(
+        F.array(
+            F.when(two != "", F.concat(F.regexp_replace(two, r"\s+", " "), F.lit(" _"))),
+            F.when((one != "") & (nxt != ""), F.concat(one, F.lit(" _ "), nxt)),
+        )
+    )
+
+
 def _base(text: Column, kind: str) -> Column:
-    """Valid matches of a kind; texts without the sign that all its matches have are not searched."""
+    """Valid matches of a kind with the patterns of their contexts, the words that a match begins or ends in left
+    out; texts without the sign that all its matches have are not searched."""
     sign = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike(r"[0-9][ .-]?[0-9]" if kind == "card" else r"[0-9]\.[0-9]"))
-    spans = F.transform(F.filter(_hits(text, _PATTERNS[kind]), lambda h: _valid(kind, h["value"])), lambda h: F.struct(h["start"], h["stop"]))
-    return F.when(sign, spans).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    around = lambda h: _patterns(F.regexp_replace(h["before"], r"\S+$", ""), F.regexp_replace(h["after"], r"^\S+", ""))
+    spans = F.transform(
+        F.filter(_hits(text, _PATTERNS[kind]), lambda h: _valid(kind, h["value"])),
+        lambda h: F.struct(h["start"], h["stop"], h["value"], around(h).alias("patterns")),
+    )
+    return F.when(sign, spans).otherwise(F.array().cast(_EMPTY))
 
 
 def _candidates(text: Column) -> Column:
-    """Words that may be identifiers, without the marks around them, and the patterns that their contexts make:
-    the two words before, and the word before with the word after; digits count as one digit."""
+    """Words and runs of words that may be identifiers, without the marks around them, and the patterns that their
+    contexts make."""
 
     def trimmed(h: Column) -> Column:
-        head = F.length(h["value"]) - F.length(F.regexp_replace(h["value"], f"^{_MARKS}+", ""))
-        bare = F.regexp_replace(F.regexp_replace(h["value"], f"^{_MARKS}+", ""), f"{_MARKS}+$", "")
-        before = F.regexp_replace(F.lower(h["before"]), "[0-9]", "9")
-        after = F.regexp_replace(F.lower(h["after"]), "[0-9]", "9")
-        two, one = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1), F.regexp_extract(before, r"(\S+)\s*$", 1)
-        nxt = F.regexp_extract(after, r"^\s*(\S+)", 1)
+        tail = F.regexp_replace(h["value"], _HEAD_MARKS, "")
+        head = F.length(h["value"]) - F.length(tail)
+        bare = F.regexp_replace(tail, f"{_MARKS}+$", "")
         return F.struct(
             (h["start"] + head).alias("start"),
             (h["start"] + head + F.length(bare)).alias("stop"),
             bare.alias("value"),
-            F.array(
-                F.when(two != "", F.concat(F.regexp_replace(two, r"\s+", " "), F.lit(" _"))),
-                F.when((one != "") & (nxt != ""), F.concat(one, F.lit(" _ "), nxt)),
-            ).alias("patterns"),
+            _patterns(h["before"], h["after"]).alias("patterns"),
         )
 
-    worth = text.rlike(r"@|[0-9][^\s\p{L}@0-9]*[0-9]")
-    empty = F.array().cast("array<struct<start:int,stop:int,value:string,patterns:array<string>>>")
-    return F.when(worth, F.filter(F.transform(_hits(text, _CANDIDATE), trimmed), lambda c: c["stop"] > c["start"])).otherwise(empty)
+    is_word = lambda v: F.contains(v, F.lit("@")) | (count(v, "0-9") >= 5) | (v.rlike(r"\p{L}") & (count(v, r"\p{L}0-9") >= 5))
+    count = lambda v, kept: F.length(F.regexp_replace(v, f"[^{kept}]", ""))
+    runs = F.filter(_hits(text, _RUN), lambda h: (count(h["value"], "0-9") >= 5) & (count(h["value"], r"\p{L}0-9") <= _LONGEST))
+    found = F.filter(F.transform(F.concat(F.filter(_hits(text, _CANDIDATE), lambda h: is_word(h["value"])), runs), trimmed), lambda c: c["stop"] > c["start"])
+    return F.when(text.rlike("[@0-9]"), found).otherwise(F.array().cast(_EMPTY))
 
 
-def induced(occurrences: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> tuple[DataFrame, DataFrame]:
+def induced(occurrences: DataFrame, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS) -> tuple[DataFrame, DataFrame]:
     """Patterns and values that the seeds in occurrences (pattern, value, seed) make sure: (pattern), (value).
 
     Seeds have confidence 1. In each round a pattern gets the mean confidence of the distinct values that stand in
     it, or none if fewer than least_seeds of them are sure, and each other value the chance that one of its
-    patterns is right. Occurrences are first summed to distinct pairs.
+    patterns is right. No confidence ever falls, so rounds go on until they have settled. Occurrences are first
+    summed to distinct pairs.
     """
     edges = written(occurrences.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-edges")
-    values = edges.groupBy("value").agg(F.max("seed").alias("conf"))
-    for _ in range(rounds):
+    values, before = edges.groupBy("value").agg(F.max("seed").alias("conf")), None
+    while True:
         scored = (
-            edges.join(values, "value")
+            edges.join(values.select("value", "conf"), "value")
             .groupBy("pattern")
             .agg(F.avg("conf").alias("score"), F.sum((F.col("conf") >= least_score).cast("int")).alias("sure"))
             .filter(F.col("sure") >= least_seeds)
         )
         patterns = written(scored, "pii-patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.95)))))
-        values = written(
+        own = values.select("value", F.col("conf").alias("last"))
+        conf = (
             edges.join(patterns, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
-            .select("value", F.greatest("seed", 1 - F.col("doubt")).alias("conf")),
-            "pii-values",
-        )
+            .select("value", F.greatest("seed", 1 - F.col("doubt")).alias("conf"))
+        )
+        values = written(conf.join(own, "value").select("value", "conf", "last"), "pii-values")
+        sure = lambda c: F.count_if(F.col(c) >= least_score)
+        now = (patterns.agg(sure("score")).first()[0], *values.agg(sure("conf"), F.count_if(F.col("conf") - F.col("last") >= SETTLED)).first())
+        if now[2] == 0 and now[:2] == before:
+            break
+        before = now[:2]
     return patterns.filter(F.col("score") >= least_score).select("pattern"), values.filter(F.col("conf") >= least_score).select("value")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, spans): spans is array<struct<kind,start,stop>> in code points, stop exclusive, kinds as
     in KINDS and then `context`, each in the order of the text.
 
     Base matches are those of the fixed patterns that pass their kind's test. They are the seeds: the words
-    around them are lexical patterns, which a few rounds over the graph of patterns and values score; candidate
-    words in a pattern that is sure enough, and sure enough themselves, are added where no base match stands.
+    around them are lexical patterns, which rounds over the graph of patterns and values score until it settles;
+    candidates in a pattern that is sure enough, and sure enough themselves, are added where no base match stands,
+    of two that overlap the one that begins first, or else the longer.
 
     A null or empty text has no spans; an empty table gives no rows; repeated rows give a row each; other input
     columns are ignored.
@@ -162,20 +201,25 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "pii-found",
     )
     taken = F.flatten(F.array(*[F.col(k) for k in KINDS]))
+    free = F.filter("candidates", lambda c: ~F.exists("taken", lambda b: (b["start"] < c["stop"]) & (b["stop"] > c["start"])))
+    told = lambda spans, seed: F.transform(spans, lambda c: F.struct(c["start"], c["stop"], c["value"], c["patterns"], F.lit(seed).alias("seed")))
     occurrences = (
-        found.filter(F.size("candidates") > 0)
-        .withColumn("taken", taken)
-        .select("doc_id", "text_hash", "taken", F.explode("candidates").alias("c"))
-        .select("doc_id", "text_hash", "c.start", "c.stop", "c.value", F.explode(F.array_compact("c.patterns")).alias("pattern"),
-                F.exists("taken", lambda b: (b["start"] < F.col("c.stop")) & (b["stop"] > F.col("c.start"))).alias("seed"))
+        found.withColumn("taken", taken)
+        .select("doc_id", "text_hash", F.explode(F.concat(told(F.col("taken"), True), told(free, False))).alias("c"))
+        .select("doc_id", "text_hash", "c.start", "c.stop", "c.value", "c.seed", F.explode("c.patterns").alias("pattern"))
     )
-    patterns, values = induced(occurrences, rounds)
+    patterns, values = induced(occurrences)
+    earlier = W.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("stop")).rowsBetween(W.unboundedPreceding, -1)
     more = (
         occurrences.filter("not seed")
         .join(patterns, "pattern", "left_semi")
         .join(values, "value", "left_semi")
+        .select("doc_id", "text_hash", "start", "stop")
+        .distinct()
+        .withColumn("reached", F.coalesce(F.max("stop").over(earlier), F.lit(0)))
+        .filter(F.col("start") >= F.col("reached"))
         .groupBy("doc_id", "text_hash")
-        .agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("more"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("more"))
         .select(F.col("doc_id").alias("more_id"), F.col("text_hash").alias("more_hash"), "more")
     )
     named = lambda kind, spans: F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))

@@ -279,6 +279,26 @@ def test_contexts_discover(spark):
     assert out[21] == rows[7][1] and out[22] is None
 
 
+def test_contexts_of_matches_with_blanks(spark):
+    rows = [(i, f"you can reach me at +1 (743) 555-38{i:02} after lunch") for i in range(6)]
+    cards = [f"my spare card number 4111 1111 {i:04} 1111 was lost" for i in range(100)]
+    rows += [(10 + i, t) for i, t in enumerate([t for t in cards if list(base_by_hand(t))])]
+    rows += [(200, "you can reach me at (743) 555-3824 after lunch"), (201, "my spare card number 4111 1111 1111 1112 was lost"), (202, "one may reach me at ab12-cd34x after lunch"), (203, "only (743) 555-3824 here")]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id >= 200").collect()
+    want = {200: [("context", 20, 34)], 201: [("context", 21, 40)], 202: [("context", 20, 30)], 203: []}
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in got} == want
+
+
+def test_contexts_spread_until_they_settle(spark):
+    rows = [(i, f"please mail me on key{i}@box{i}.com now") for i in range(6)]
+    for step in range(3):  # the values of each step make the next step's context sure
+        for i in range(4):
+            rows += [(100 + 10 * step + i, f"{'please mail me on' if step == 0 else f'next to link{chr(96 + step)}'} k{step}x{i}y00 now")]
+            rows += [(200 + 10 * step + i, f"next to link{chr(97 + step)} k{step}x{i}y00 now")]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(len(r.spans) == 1 for r in got)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(400, 12)).round(2)
