@@ -68,6 +68,7 @@ def encode(docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHARS, id_col
         enc = encoder(tokenizer)
         rows = ((i.as_py(), enc.ids(t.as_py())) for b in batches for i, t in zip(b.column(0), b.column(1), strict=True))
         yield from in_batches(rows, schema)
+        enc.rest()
 
     leaf_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("leaf", pa.int32()), ("text", pa.string()), ("ids", pa.binary())])
 
@@ -75,6 +76,7 @@ def encode(docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHARS, id_col
         enc = encoder(tokenizer)
         rows = ((*r.values(), enc.ids(r["text"])) for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist())
         yield from in_batches(rows, leaf_schema)
+        enc.rest()
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("leaf")
