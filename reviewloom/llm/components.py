@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import compact, discarded
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,15 +26,18 @@ def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(id, component): the smallest identifier that each linked one reaches; one without links has no row.
 
     Minima are summed before rows are tied to them, so a node with many links is no group of its own in memory.
+    A link with a null end is none; repeated links count once; an empty table gives no rows.
     """
     a, b = F.col(x).cast("long"), F.col(y).cast("long")
-    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    ends = links.select(a.alias("a"), b.alias("b")).dropna()
+    edges = compact(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, compact(_small_star(_large_star(edges)), "edges")
+        discarded(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    tied = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return tied.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

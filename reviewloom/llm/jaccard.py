@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import compact, discarded, few, held, texts, written
 from .components import components
 from .tokens import in_batches
 from .words import mixed, shingles, word_hashes
@@ -21,9 +22,9 @@ BUCKET = 128
 _MOST_GROWTH = 8
 #: Light members up to which they are joined with all of a larger bucket.
 _FEW_LIGHTS = 16
-#: Identifiers up to which a list of them is broadcast; above, it is joined.
-_BROADCAST_IDS = 1_000_000
-_SET = "doc_id long, n int, sig1 long, sig2 long"
+#: Pairs of one member that meet its set in one task; the set is copied for more.
+_PAIRS_A_COPY = 128
+_KEY = ["n", "sig1", "sig2"]
 
 
 class _Rule:
@@ -33,7 +34,7 @@ class _Rule:
     def __init__(self, shingle: int, a: int, b: int):
         self.shingle, self.a, self.b = shingle, a, b
         self.least = -(-a // (b - a))  # smaller sets link with equal ones only
-        self.modulus = max(1, (2 * b) // (5 * (b - a)))  # of tokens, one in so many is ranked by frequency
+        self.ranked = np.uint64(min((1 << 64) - 1, ((b - a) << 65) // b))  # tokens below it, two prefixes' worth, are ranked by frequency
 
     def prefix(self, n: int) -> int:
         return n + (-self.a * n) // self.b + 1
@@ -52,46 +53,48 @@ def _long(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def _shingled(rule: _Rule, with_tokens: bool):
-    """Size and signature of each text's set; with_tokens: also the tokens of class 0, which come first in every
-    order, and the start of the others where class 0 can't fill a prefix."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64())])
-    if with_tokens:
-        schema = schema.append(pa.field("first", pa.binary())).append(pa.field("rest", pa.list_(pa.int64())))
+def _signed(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and signature of a set: the key of all texts that have it."""
+    sig = np.array([mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
+    return len(s), int(sig[0]), int(sig[1])
+
+
+def _shingled(rule: _Rule):
+    """A number, unique in the table, and the key of each text's set; also its tokens of class 0, which come first
+    in every order, and the start of the others where class 0 can't fill a prefix."""
+    schema = pa.schema(
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("first", pa.binary()), ("rest", pa.list_(pa.int64()))]
+    )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 s = shingles(word_hashes(t.as_py()), rule.shingle)
-                sig = np.array([mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64)], np.uint64).view(np.int64)
-                head = (i.as_py(), len(s), int(sig[0]), int(sig[1]))
-                if not with_tokens:
-                    yield head
-                elif len(s) >= rule.least:
-                    ranked = s % np.uint64(rule.modulus) == 0
-                    first = s[ranked]
-                    lacking = rule.prefix(len(s)) - len(first)
-                    yield (*head, first.tobytes(), _long(s[~ranked][:lacking]).tolist() if lacking > 0 else [])
+                k = int(np.searchsorted(s, rule.ranked)) if len(s) >= rule.least else 0
+                lacking = rule.prefix(len(s)) - k if len(s) >= rule.least else 0
+                yield row, i.as_py(), *_signed(s), s[:k].tobytes(), _long(s[k : k + lacking]).tolist() if lacking > 0 else []
+                row += 1
 
     return lambda batches: in_batches(rows(batches), schema)
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(grp, doc, tok) of the tokens in column `first`."""
+    """(doc, tok) of the tokens in column `first`."""
     for b in batches:
         docs, first = b.column(0).to_numpy(), b.column(1)
         sizes = np.array([len(f.as_buffer()) // 8 for f in first], np.int64)
         toks = np.frombuffer(b"".join(f.as_buffer() for f in first), np.int64)
         owner = np.repeat(docs, sizes)
-        for at in range(0, max(1, len(toks)), 1 << 20):
-            part = slice(at, at + (1 << 20))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(toks[part]), np.int64)), pa.array(owner[part]), pa.array(toks[part])], names=["grp", "doc", "tok"])
+        for at in range(0, max(1, len(toks)), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[part]), pa.array(toks[part])], names=["doc", "tok"])
 
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    """(grp, doc, shared): array<struct<df,tok>> of a member's tokens that others of its group have too."""
-    df = tokens.groupBy("grp", "tok").agg(F.count("*").alias("df")).filter("df > 1")
-    return tokens.join(df, ["grp", "tok"]).groupBy("grp", "doc").agg(F.collect_list(F.struct("df", "tok")).alias("shared"))
+def _shared(tokens: DataFrame, *group: str) -> DataFrame:
+    """(*group, doc, shared): array<struct<df,tok>> of a member's tokens that others of its group have too."""
+    df = tokens.groupBy(*group, "tok").agg(F.count("*").alias("df")).filter("df > 1")
+    return tokens.join(df, [*group, "tok"]).groupBy(*group, "doc").agg(F.collect_list(F.struct("df", "tok")).alias("shared"))
 
 
 def _prefixes(members: DataFrame, slots: Column) -> DataFrame:
@@ -151,45 +154,77 @@ def _candidates(rule: _Rule, members: DataFrame, bucket: int) -> tuple[DataFrame
     return pairs, stars
 
 
-def _verified(rule: _Rule, src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (x, y, star) with linked and, for stars, the set difference; sets are made anew for the texts in pairs."""
-    ids = written(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "jaccard-ids")
-    ids = F.broadcast(ids) if ids.count() <= _BROADCAST_IDS else ids
-    set_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
+def _with_sets(pairs: DataFrame, made: DataFrame, side: str, other: str, temporary: list[DataFrame]) -> DataFrame:
+    """pairs with the set of one side, s<side>. A set that many pairs ask for has a copy for each _PAIRS_A_COPY of
+    them, so that no task gets all pairs of a leader."""
+    often = pairs.groupBy(side).agg(F.ceil(F.count("*") / _PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 1")
+    often = held(often)
+    temporary.append(often)
+    often = few(often)
+    sets = (
+        made.select(F.col("row").alias(side), F.col("tokens").alias(f"s{side}"))
+        .join(often, side, "left")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+        .drop("copies")
+    )
+    dealt = pairs.join(often, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int"))
+    return dealt.drop("copies").join(sets, [side, "copy"]).drop("copy")
+
+
+def _verified(rule: _Rule, src: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (x, y, star) with linked and, for stars, what y's set has more and less than x's; sets are made anew for the texts in pairs."""
+    rows = held(pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct())
+    wanted = held(every.select("row", "doc_id", *_KEY).join(few(rows), "row", "left_semi"))
+    ids = held(wanted.select(F.col("doc_id").alias("id")).distinct())
+    set_schema = pa.schema([("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i.as_py(), shingles(word_hashes(t.as_py()), rule.shingle).tobytes()) for b in batches for i, t in zip(b.column(0), b.column(1), strict=True))
-        return in_batches(rows, set_schema)
+        found = (shingles(word_hashes(t.as_py()), rule.shingle) for b in batches for t in b.column(0))
+        return in_batches(((*_signed(s), s.tobytes()) for s in found), set_schema)
 
-    made = written(src.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, tokens binary"), "jaccard-sets").dropDuplicates(["doc_id"])
-    both = pairs.join(made.select(F.col("doc_id").alias("x"), F.col("tokens").alias("sx")), "x").join(made.select(F.col("doc_id").alias("y"), F.col("tokens").alias("sy")), "y")
-    out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("star", pa.bool_()), ("linked", pa.bool_()), ("n", pa.int32()), ("delta", pa.list_(pa.int64()))])
+    asked = src.join(few(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    keyed = asked.mapInArrow(sets, "n int, sig1 long, sig2 long, tokens binary").join(few(wanted).select("row", *_KEY), _KEY)
+    made = held(keyed.select("row", "tokens").dropDuplicates(["row"]))
+    temporary = [rows, wanted, ids, made]
+    both = _with_sets(_with_sets(pairs, made, "x", "y", temporary), made, "y", "x", temporary)
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("star", pa.bool_()), ("linked", pa.bool_()), ("n", pa.int32()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64()))])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
                 for x, y, star, bx, by in zip(*b.columns, strict=True):
                     sx, sy = np.frombuffer(bx.as_buffer(), np.uint64), np.frombuffer(by.as_buffer(), np.uint64)
-                    delta = np.setxor1d(sx, sy, assume_unique=True)
-                    both = (len(sx) + len(sy) - len(delta)) // 2
+                    more, less = np.setdiff1d(sy, sx, assume_unique=True), np.setdiff1d(sx, sy, assume_unique=True)
                     star = star.as_py()
-                    yield x.as_py(), y.as_py(), star, rule.linked(both, len(sx), len(sy)), len(sy), _long(delta).tolist() if star else []
+                    yield x.as_py(), y.as_py(), star, rule.linked(len(sy) - len(more), len(sx), len(sy)), len(sy), _long(more).tolist() if star else [], _long(less).tolist() if star else []
 
         return in_batches(rows(), out)
 
-    return written(both.select("x", "y", "star", "sx", "sy").mapInArrow(compared, "x long, y long, star boolean, linked boolean, n int, delta array<long>"), "jaccard-compared")
+    seen = written(both.select("x", "y", "star", "sx", "sy").mapInArrow(compared, "x long, y long, star boolean, linked boolean, n int, more array<long>, less array<long>"), "jaccard-compared")
+    for df in temporary:
+        df.unpersist()
+    return seen
+
+
+def _meeting(rule: _Rule, more: Column, less: Column, shared: Column) -> Column:
+    """Of the tokens that a member differs from its leader in, those that another member may have too: of what it has
+    more, tokens of class 0 that no other set has were seen in the first round, as they are not in `shared`."""
+    top = int(rule.ranked)
+    counted = lambda t: (t >= 0) & (t < top) if top < 1 << 63 else (t >= 0) | (t < top - (1 << 64))
+    return F.concat(less, F.filter(more, lambda t: ~counted(t)), F.array_intersect(F.filter(more, counted), shared))
 
 
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET
 ) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id) for every document, and the links (x, y) found between representatives.
+    """(doc_id, n_shingles, component_id) for every document, and the links (x, y) found between representatives,
+    each the smallest doc_id that has its set.
 
     A document's set is the distinct runs of `shingle` words (A-Z lower-cased) of its whole text, or its one
     shorter sequence; two documents link when 100 * intersection >= percent * union. component_id is the
     smallest doc_id that links reach. Sets are compared as 64-bit hashes of their members.
 
-    Documents with equal sets are one representative, the smallest doc_id. Representatives meet where they share
+    Documents with equal sets are one representative. Representatives meet where they share
     a token in their prefixes: one under an order with rare tokens first, and then also one each under two hash
     orders. To save counting, one token class comes first in all orders, and only its tokens are counted. In a
     bucket of more than `bucket` members, those with few tokens of their own are compared with all if they are few;
@@ -198,54 +233,67 @@ def near_duplicates(
     those are both linked to the leader. So copies in any number cost a comparison each, and no link between
     different texts is lost: documents that link end in one component, by way of verified links.
 
-    A null or empty text, or one without words, has an empty set and links with nothing; rows that repeat a
-    doc_id get a row each and count as one document if their texts differ; an empty table gives no rows; other
-    input columns are ignored.
+    A null or empty text, or one without words, has an empty set and links with nothing; a row that repeats a
+    doc_id is a document of its own; a null doc_id is never a component_id unless no other is reached; an empty
+    table gives no rows; other input columns are ignored.
     """
     if not 0 < percent < 100:
         raise ValueError("percent must be between 0 and 100")
     rule = _Rule(shingle, percent, 100)
     src = texts(docs, id_col, text_col)
-    every = written(src.mapInArrow(_shingled(rule, False), _SET), "jaccard-all")
-    reps = every.filter("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep"))
-    tokens_of = src.mapInArrow(_shingled(rule, True), f"{_SET}, first binary, rest array<long>")
-    one = tokens_of.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "first", "rest")).alias("m"))
-    roots = written(one.select(F.col("m.doc_id").alias("doc"), "n", F.col("m.first").alias("first"), F.col("m.rest").alias("rest")), "jaccard-sets")
-    spread = roots.select("doc", "first").mapInArrow(_spread, "grp long, doc long, tok long")
+    every = written(src.mapInArrow(_shingled(rule), "row long, doc_id long, n int, sig1 long, sig2 long, first binary, rest array<long>"), "jaccard-every")
+    classes = every.filter("n > 0").groupBy(*_KEY).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("size"))
+    copied = classes.filter("size > 1").select(*_KEY, "rep")
+    copies = compact(every.select("row", *_KEY).join(copied, _KEY).filter("row <> rep").select("row"), "jaccard-copies")
+    roots = every.filter(F.col("n") >= rule.least).join(few(copies), "row", "left_anti").select(F.col("row").alias("doc"), "n", "first", "rest")
+    spread = roots.select("doc", "first").mapInArrow(_spread, "doc long, tok long")
     none = F.array().cast("array<struct<df:bigint,tok:bigint>>")
+    met = written(_shared(spread), "jaccard-shared")
+    counted = met.select("doc", F.col("shared")["tok"].alias("toks"))
     members = (
         roots.select("doc", "n", "rest", (F.octet_length("first") / 8).cast("int").alias("ranked"))
-        .join(_shared(spread).select("doc", "shared"), "doc", "left")
+        .join(met, "doc", "left")
         .select(F.lit(0).cast("long").alias("grp"), "doc", "n", F.col("n").alias("size"), "ranked", F.coalesce("shared", none).alias("shared"), "rest", F.lit(False).alias("tied"))
     )
     slots = F.col("n") - F.ceil(F.col("n") * rule.a / rule.b) + 1
     links: list[DataFrame] = []
-    rounds = 0
+    rounds, left = 0, None
     while True:
         prefixed = written(_prefixes(members, slots), "jaccard-prefixes")
         pairs, stars = _candidates(rule, prefixed, bucket * min(_MOST_GROWTH, 1 << rounds))
         rounds += 1
-        asked = written(
+        asked = compact(
             pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True))).groupBy("x", "y").agg(F.max("star").alias("star")),
             "jaccard-pairs",
         )
+        discarded(prefixed)
         if asked.isEmpty():
             break
-        seen = _verified(rule, src, asked)
-        links.append(seen.filter("linked").select("x", "y"))
+        seen = _verified(rule, src, every, asked)
+        discarded(asked)
+        links.append(compact(seen.filter("linked").select("x", "y"), "jaccard-links"))
         star = seen.filter("star")
         open_ = star.filter("not linked").select("x").distinct()
-        left = written(star.join(open_, "x", "left_semi").select(F.col("x").alias("grp"), F.col("y").alias("doc"), "n", "linked", "delta"), "jaccard-left")
+        named = star.join(open_, "x", "left_semi").select(F.col("x").alias("grp"), F.col("y").alias("doc"), "n", "linked", "more", "less")
+        known = named.join(counted, "doc", "left").withColumn("toks", F.coalesce("toks", F.array().cast("array<bigint>")))
+        meeting = _meeting(rule, F.col("more"), F.col("less"), F.col("toks")).alias("meeting")
+        last, left = left, written(known.select("grp", "doc", "n", "linked", (F.size("more") + F.size("less")).alias("size"), meeting), "jaccard-left")
+        discarded(seen, *([last] if last else []))
         if left.isEmpty():
             break
-        shared = _shared(left.select("grp", "doc", F.explode("delta").alias("tok")))
+        shared = _shared(left.select("grp", "doc", F.explode("meeting").alias("tok")), "grp")
         members = left.join(shared, ["grp", "doc"]).select(
-            "grp", "doc", "n", F.size("delta").alias("size"), F.size("delta").alias("ranked"), "shared",
-            F.array().cast("array<long>").alias("rest"), F.col("linked").alias("tied"),
+            "grp", "doc", "n", "size", F.col("size").alias("ranked"), "shared", F.array().cast("array<long>").alias("rest"), F.col("linked").alias("tied"),
         )
         slots = F.floor(F.col("n") * (rule.b - rule.a) / rule.a) + 1
     found = reduce(DataFrame.unionByName, links) if links else docs.sparkSession.createDataFrame([], "x long, y long")
     parts = components(found).select(F.col("id").alias("rep"), "component")
-    named = reps.join(parts, "rep", "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component_id"))
-    result = every.join(named, ["n", "sig1", "sig2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return result, found
+    named = classes.join(parts, "rep", "left").select(*_KEY, "rep", "least", "component")
+    least = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = compact(named.join(least, "component", "left").select(*_KEY, "rep", "least", F.coalesce("component_id", "least").alias("component_id")), "jaccard-classes")
+    result = every.select("doc_id", *_KEY).join(named.select(*_KEY, "component_id"), _KEY, "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+    of = lambda side: named.select(F.col("rep").alias(side), F.col("least").alias(f"{side}_id"))
+    told = found.join(of("x"), "x").join(of("y"), "y").select(F.col("x_id").alias("x"), F.col("y_id").alias("y"))
+    return result, told

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, texts, written
+from .common import compact, discarded, fresh, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -157,7 +157,7 @@ def induced(occurrences: DataFrame, least_score: float = LEAST_SCORE, least_seed
     patterns is right. No confidence ever falls, so rounds go on until they have settled. Occurrences are first
     summed to distinct pairs.
     """
-    edges = written(occurrences.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-edges")
+    edges = compact(occurrences.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-edges")
     values, before = edges.groupBy("value").agg(F.max("seed").alias("conf")), None
     while True:
         scored = (
@@ -166,14 +166,14 @@ def induced(occurrences: DataFrame, least_score: float = LEAST_SCORE, least_seed
             .agg(F.avg("conf").alias("score"), F.sum((F.col("conf") >= least_score).cast("int")).alias("sure"))
             .filter(F.col("sure") >= least_seeds)
         )
-        patterns = written(scored, "pii-patterns")
+        patterns = compact(scored, "pii-patterns")
         doubt = F.exp(F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.95)))))
         own = values.select("value", F.col("conf").alias("last"))
         conf = (
             edges.join(patterns, "pattern", "left").groupBy("value").agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
             .select("value", F.greatest("seed", 1 - F.col("doubt")).alias("conf"))
         )
-        values = written(conf.join(own, "value").select("value", "conf", "last"), "pii-values")
+        values = compact(conf.join(own, "value").select("value", "conf", "last"), "pii-values")
         sure = lambda c: F.count_if(F.col(c) >= least_score)
         now = (patterns.agg(sure("score")).first()[0], *values.agg(sure("conf"), F.count_if(F.col("conf") - F.col("last") >= SETTLED)).first())
         if now[2] == 0 and now[:2] == before:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import compact, texts, written
 
 #: Items that the differencing sees: so many bundles of light groups, and at most as many heavy groups.
 BUNDLES = 8192
@@ -84,7 +84,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         pdf = pdf.sort_values(["bytes", "item"], ascending=[False, True])
         return pd.DataFrame({"item": pdf["item"], "shard": difference([int(b) for b in pdf["bytes"]], shards)})
 
-    placed = written(items.withColumn("one", F.lit("all")).groupBy("one").applyInPandas(place, "item string, shard int"), "shard-items")
+    placed = compact(items.withColumn("one", F.lit("all")).groupBy("one").applyInPandas(place, "item string, shard int"), "shard-items")
     heavy = placed.filter(F.length("item") == 64).select(F.col("item").alias("digest"), F.col("shard").alias("own"))
     bundles = placed.filter(F.length("item") < 64).select("item", F.col("shard").alias("bundled"))
     put = (

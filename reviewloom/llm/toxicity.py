@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import compact, texts, written
 from .quality import labelled_sample
 
 #: Most labelled rows to fit on; the rows with the smallest hash of doc_id are taken.
@@ -24,7 +23,7 @@ SAMPLE_ROWS = 20_000
 LEXICON_TERMS = 2000
 _STEMS = (4, 5, 6)
 _TREES, _DEPTH = 30, 3
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 100_000
 
 #: Insults and pronouns of address in the corpus's languages, a start for the learned lexicon.
 INSULTS = (
@@ -102,11 +101,6 @@ class Features:
         ]
 
 
-@lru_cache(maxsize=2)
-def _features(words: frozenset[str], stems: frozenset[str]) -> Features:
-    return Features(words, stems)
-
-
 def learned_lexicon(sample: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """Words, and beginnings of words, that toxic sample documents have clearly more often: at most LEXICON_TERMS of either."""
     n1, n0 = sample.select(F.coalesce(F.sum("y"), F.lit(0)), F.count("*") - F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -152,7 +146,7 @@ def score_toxicity(
     words, stems = learned_lexicon(sample.filter(part < 5))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feats = _features(words, stems)
+        feats = Features(words, stems)  # goes with the task, and its memo with it
         for b in batches:
             text = b.column(b.schema.get_field_index("text"))
             kept = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "text"]
@@ -162,7 +156,7 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays([*kept, column], names=[*names, "f"])
 
     vector = array_to_vector("f").alias("features")
-    known = written(fit_on.select("doc_id", "y", "text").mapInArrow(featured, "doc_id long, y int, f array<double>"), "toxicity-features")
+    known = compact(fit_on.select("doc_id", "y", "text").mapInArrow(featured, "doc_id long, y int, f array<double>"), "toxicity-features")
     trees = GBTClassifier(labelCol="y", maxIter=_TREES, maxDepth=_DEPTH, stepSize=0.2, seed=7, featuresCol="features", minInstancesPerNode=5)
     for_trees = known.filter(part < 9) if known.filter(part < 9).select("y").distinct().count() == 2 else known
     model = trees.fit(for_trees.select(F.col("y").cast("double").alias("y"), vector))
