@@ -13,21 +13,16 @@ from pyspark.sql import functions as F
 
 from .common import texts, written
 
-_NORM = "doc_id long, text string"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUNS = "doc_id long, text_sha256 string, run_keep long, run_size long, edge boolean, lead boolean"
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pc.ascii_lower(b.column(1))], names=["doc_id", "text"])
-
-
 class _Run:
     """Equal neighbours: only their identifiers and one digest are held."""
 
     def __init__(self, text: str, key: int, first: bool):
         self.text, self.key, self.first = text, key, first
-        self.ids: list[np.ndarray] = []
+        self.ids: list[pa.Array] = []
 
 
 def _runs(keep_max: bool):
@@ -36,16 +31,16 @@ def _runs(keep_max: bool):
         run: _Run | None = None
 
         def rows(held: list[_Run], last: bool) -> pa.RecordBatch:
-            parts = [(np.concatenate(r.ids), hashlib.sha256(r.text.encode()).hexdigest(), r.first or last) for r in held]
+            parts = [(pa.concat_arrays(r.ids), hashlib.sha256(r.text.encode()).hexdigest(), r.first or last) for r in held]
             n = [len(i) for i, _, _ in parts]
             lead = np.zeros(sum(n), bool)
             lead[np.cumsum([0, *n[:-1]])] = True
-            keep = [int(i.max() if keep_max else i.min()) for i, _, _ in parts]
+            keep = pa.array([(pc.max if keep_max else pc.min)(i).as_py() for i, _, _ in parts], pa.int64())
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([i for i, _, _ in parts])),
+                    pa.concat_arrays([i for i, _, _ in parts]),
                     pa.array(np.repeat(np.array([s for _, s, _ in parts], object), n), pa.string()),
-                    pa.array(np.repeat(keep, n)),
+                    keep.take(pa.array(np.repeat(np.arange(len(n)), n))),
                     pa.array(np.repeat(n, n)),
                     pa.array(np.repeat([e for _, _, e in parts], n)),
                     pa.array(lead),
@@ -57,7 +52,7 @@ def _runs(keep_max: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, text, key = b.column(0).to_numpy(zero_copy_only=False), b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            ids, text, key = b.column(0), b.column(1), b.column(2).to_numpy(zero_copy_only=False)
             if first_key is None:
                 first_key = key[0]
             same = np.zeros(len(ids), bool)
@@ -65,7 +60,7 @@ def _runs(keep_max: bool):
             same[0] = run is not None and run.text == text[0].as_py()
             starts = np.flatnonzero(~same)
             if len(starts) == 0 or starts[0] > 0:
-                run.ids.append(ids[: starts[0] if len(starts) else len(ids)])
+                run.ids.append(ids.slice(0, starts[0] if len(starts) else len(ids)))
             done: list[_Run] = []
             for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
                 if run is not None:
@@ -74,7 +69,7 @@ def _runs(keep_max: bool):
                         done += closed
                         closed = []
                 run = _Run(text[s].as_py(), key[s], key[s] == first_key)
-                run.ids.append(ids[s:e])
+                run.ids.append(ids.slice(s, e - s))
             if done:
                 yield rows(done, False)
         if run is not None:
@@ -93,9 +88,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges of partitions, at most a few each, are then merged over partitions by digest.
 
     An empty table gives no rows; rows with a repeated doc_id each give a row and count in group_size, and kept
-    marks each row whose doc_id is the one that stays; other input columns are ignored.
+    marks each row whose doc_id is the one that stays. A null doc_id counts in group_size and stays only where its
+    group has no other; keep_id is then null. Other input columns are ignored.
     """
-    folded = texts(docs, id_col, text_col).mapInArrow(_fold, _NORM)
+    ascii_only = F.octet_length("text") == F.length("text")
+    folded = texts(docs, id_col, text_col).select("doc_id", F.when(ascii_only, F.lower("text")).otherwise(F.translate("text", _UPPER, _LOWER)).alias("text"))
     keyed = folded.select("doc_id", "text", F.xxhash64("text").alias("h"), F.substring("text", 1, 16).alias("head"))
     ordered = keyed.repartitionByRange("head", "h", "doc_id").sortWithinPartitions("head", "h", "text", "doc_id")
     runs = written(ordered.select("doc_id", "text", "h").mapInArrow(_runs(keep == "max"), _RUNS), "dedup-runs")
@@ -110,6 +107,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id",
         F.coalesce("edge_keep", "run_keep").alias("keep_id"),
         F.coalesce("edge_size", "run_size").alias("group_size"),
-        (F.col("doc_id") == F.coalesce("edge_keep", "run_keep")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.coalesce("edge_keep", "run_keep")).alias("kept"),
         "text_sha256",
     )

@@ -63,7 +63,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(folds: int, fold: int) -> str:
-    return f"crc32(cast(cast(doc_id as string) as binary)) % {folds} = {fold}"
+    return f"coalesce(crc32(cast(cast(doc_id as string) as binary)) % {folds} = {fold}, false)"
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

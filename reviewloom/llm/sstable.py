@@ -3,8 +3,8 @@
 A shard file holds, in this order:
   blocks   zstd frames; in each, entries in ascending key order:
            shared u8, unshared u8, bytes of the value u32, the key's unshared bytes, the value.
-           The key is the identifier as 8 big-endian bytes with the sign bit flipped; `shared` bytes of it are
-           those of the entry before, none at a block's start. The value is the ids, 2 or 4 little-endian bytes each.
+           The key is the identifier as 8 big-endian bytes with the sign bit flipped, of a null one no byte; `shared`
+           bytes of it are those of the entry before, none at a block's start. The value is the ids, 2 or 4 little-endian bytes each.
   index    for each block: last key (8 bytes), place u64, bytes u32
   bloom    bits, 10 a document; 7 probes by double hashing
   footer   place of the index, of the bloom filter, blocks, documents, ids, bytes an id, each u64; magic
@@ -38,12 +38,12 @@ _BITS, _PROBES = 10, 7
 _MANIFEST = "path string, first_id long, last_id long, documents long, tokens long"
 
 
-def _key(doc_id: int) -> bytes:
-    return struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+def _key(doc_id: int | None) -> bytes:
+    return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
 
-def _id(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def _id(key: bytes) -> int | None:
+    return None if not key else struct.unpack(">Q", key)[0] - (1 << 63)
 
 
 def _probes(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -57,7 +57,8 @@ def _hashes(key: bytes) -> tuple[int, int]:
 
 
 class ShardWriter:
-    """Takes documents in ascending order of their identifiers; a repeated identifier gets an entry each time."""
+    """Takes documents in ascending order of their identifiers, null ones first; a repeated identifier gets an entry
+    each time. first and last are identifiers other than null, if there is one."""
 
     def __init__(self, out, width: int, block_bytes: int = BLOCK_BYTES):
         self.out, self.dtype, self.width, self.block_bytes = out, f"<u{width}", width, block_bytes
@@ -68,12 +69,12 @@ class ShardWriter:
         self._pack = zstandard.ZstdCompressor(level=1)
         self._block, self._size, self._before = [], 0, b""
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         key, value = _key(doc_id), ids.astype(self.dtype).tobytes()
         shared = 0
-        while shared < len(self._before) and key[shared] == self._before[shared]:
+        while shared < min(len(self._before), len(key)) and key[shared] == self._before[shared]:
             shared += 1
-        self._block += [_ENTRY.pack(shared, 8 - shared, len(value)), key[shared:], value]
+        self._block += [_ENTRY.pack(shared, len(key) - shared, len(value)), key[shared:], value]
         self._size += len(value) + 14
         self._before = key
         self.hashes.append(_hashes(key))
@@ -161,8 +162,8 @@ def write_table(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col:
 
     Sampled splitters range-partition the texts by doc_id; each task encodes its range in order and writes one
     file under a name of its own, so that a task that is run again leaves the first file unnamed. A null or empty
-    text holds its end id only; an empty table has no shards; repeated rows have an entry each; other input
-    columns are ignored.
+    text holds its end id only; an empty table has no shards; repeated rows have an entry each, rows with a null
+    doc_id too, which stand first and which no lookup finds; other input columns are ignored.
     """
     schema = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
@@ -178,6 +179,7 @@ def write_table(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col:
                     out = system.open_output_stream(at)
                     writer = ShardWriter(out, width, block_bytes)
                 writer.add(i.as_py(), np.append(np.frombuffer(enc.ids(t.as_py()), "<u4"), np.uint32(end_id)))
+        enc.rest()
         if writer is not None:
             writer.close()
             out.close()

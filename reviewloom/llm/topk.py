@@ -92,7 +92,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
     from above (so they bound the distance from below), what is under the k-th best so far goes, and exact scores
     are computed for the survivors only. One k-row list for each query and task is then merged.
 
-    Rows with a null vector, or null or non-finite components, take no part; vectors of different lengths are not
+    Rows with a null id or vector, or null or non-finite components, take no part; vectors of different lengths are not
     compared; several rows with one id are never each other's candidates, are candidates of other queries each,
     and are one query, with the largest of their vectors. An empty table gives no rows; components are below 2**26
     in size after scaling; other columns are ignored.
