@@ -16,7 +16,7 @@ from reviewloom.llm.common import new_path
 from reviewloom.llm.components import components
 from reviewloom.llm.dedup import exact_dedup
 from reviewloom.llm.jaccard import near_duplicates
-from reviewloom.llm.packing import pack, plan, token_pieces
+from reviewloom.llm.packing import pack, swept, token_pieces
 from reviewloom.llm.pii import personal_data, redacted
 from reviewloom.llm.quality import score_quality
 from reviewloom.llm.sharding import difference, shard_documents
@@ -35,7 +35,8 @@ def edge_rows():
     words = ["alpha", "Beta", "gamma,", "don't", "été", "naïve.", "日本", "x1y2", "...", "<|endoftext|>", "İz", "\t", "", "\n", "😀"]
     made = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(60)]
     texts = [None, "", " ", "\n\n", "a", "A", "same text", "Same Text", "same text", "w " * 4000, "z" * 20000, *made]
-    return [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)] + [(6, "same text", "en", "src0", 9)]
+    rows = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)] + [(6, "same text", "en", "src0", 9)]
+    return rows + [(None, t, None, None, None) for t in ("same text", "no id and no other like it", None)]
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +51,10 @@ def none(spark):
 
 
 def by_id(rows):
-    return {i: t or "" for i, t, *_ in rows}
+    return {i: t or "" for i, t, *_ in rows if i is not None}
+
+
+NULL_TEXTS = sorted(t or "" for i, t, *_ in edge_rows() if i is None)
 
 
 def library_ids(path, text):
@@ -76,7 +80,8 @@ def test_encode_and_decode(docs, none):
     enc, text = Encoder(WORD), by_id(edge_rows())
     rows = decode(encode(docs, WORD, leaf_chars=1000), WORD).collect()
     assert len(rows) == docs.count()
-    for r in rows:
+    assert sorted(bytes(r.ids) for r in rows if r.doc_id is None) == sorted(np.array(library_ids(WORD, t), "<u4").tobytes() for t in NULL_TEXTS)
+    for r in [r for r in rows if r.doc_id is not None]:
         ids = library_ids(WORD, text[r.doc_id])
         assert bytes(r.ids) == np.array(ids, "<u4").tobytes()
         assert r.decoded == enc.tokenizer.decode(ids, skip_special_tokens=False)
@@ -90,9 +95,14 @@ def test_exact_dedup(docs, none):
     for keep, pick in (("min", min), ("max", max)):
         got = exact_dedup(docs, keep=keep).collect()
         assert len(got) == len(rows)
-        for r in got:
-            same = [i for i, *_ in rows if low[i] == low[r.doc_id]]
-            assert (r.keep_id, r.group_size, r.kept) == (pick(same), len(same), r.doc_id == pick(same))
+        fold = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+        size = lambda t: sum(fold(t) == fold(x) for _, x, *_ in rows)
+        nulls = {r.text_sha256: (r.keep_id, r.group_size, r.kept) for r in got if r.doc_id is None}
+        same_as = lambda t: [i for i, x, *_ in rows if i is not None and fold(x) == t]
+        assert nulls == {hashlib.sha256(t.encode()).hexdigest(): (pick(same_as(t), default=None), size(t), not same_as(t)) for t in NULL_TEXTS}
+        for r in [r for r in got if r.doc_id is not None]:
+            same = same_as(low[r.doc_id])
+            assert (r.keep_id, r.group_size, r.kept) == (pick(same), size(low[r.doc_id]), r.doc_id == pick(same))
             assert r.text_sha256 == hashlib.sha256(low[r.doc_id].encode()).hexdigest()
     assert exact_dedup(none).count() == 0
 
@@ -110,7 +120,11 @@ def test_dedup_of_a_group_over_many_partitions(spark):
 def test_sharding(docs, none):
     text, rows = by_id(edge_rows()), shard_documents(docs, 3).collect()
     where, slots = {}, defaultdict(list)
+    text[None] = None
     for r in rows:
+        if r.doc_id is None:
+            slots[r.shard].append(r.slot)
+            continue
         assert r.size == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.grown_shard is None
         assert where.setdefault(text[r.doc_id], r.shard) == r.shard
         slots[r.shard].append(r.slot)
@@ -140,6 +154,7 @@ def test_packing(docs, none):
             assert offset == end
             end += length
         assert end <= 64
+    assert len(pieces.pop(None)) == 3
     for i, got in pieces.items():
         ids = [*library_ids(WORD, text[i]), 0]
         n = sum(1 for d, *_ in edge_rows() if d == i)
@@ -151,25 +166,59 @@ def test_packing(docs, none):
     assert {(r.doc_id, r._len, r._task) for r in pack(odd, 10).collect()} == {(1, 7, 8), (2, 7, 8)}
 
 
-def test_plan_uses_every_rank_once():
+def test_a_sweep_leaves_nothing_that_fits():
     rng = random.Random(3)
-    counts = {n: rng.randint(1, 9) for n in range(1, 100)}
-    seen, place = defaultdict(list), defaultdict(list)
-    for n, first, k, sequence, offset in plan(counts, 100):
-        seen[n] += range(first, first + k)
-        for j in range(k):
-            place[sequence + j].append((offset, n))
-    assert {n: sorted(v) for n, v in seen.items()} == {n: list(range(c)) for n, c in counts.items()}
+    for _ in range(200):
+        pieces = {n: rng.randint(1, 4) for n in rng.sample(range(1, 60), 12)}
+        gaps = sorted(rng.sample(range(1, 80), 8))
+        runs = [(0, n, 0, c) for n, c in pieces.items()] + [(1, g, 10 * i, 2) for i, g in enumerate(gaps)]
+        got = swept(runs, 100)
+        placed, ranks = defaultdict(list), defaultdict(list)
+        for kind, length, at, n, first, offset in got:
+            if kind == 2:
+                ranks[length] += range(at, at + n)
+                for j in range(n):
+                    placed[first + j].append((offset, length))
+        for s, parts in placed.items():
+            gap = gaps[s // 10]
+            assert sum(n for _, n in parts) <= gap
+        for length, seen in ranks.items():
+            assert sorted(seen) == list(range(len(seen))) and len(seen) <= pieces[length]
+        unplaced = [r[1] for r in got if r[0] == 0]
+        open_gaps = [r[1] for r in got if r[0] == 1]
+        assert not [1 for n in unplaced for g in open_gaps if n <= g]  # nothing that is left fits
+        assert sum(len(v) for v in placed.values()) + sum(r[3] for r in got if r[0] == 0) == sum(pieces.values())
+
+
+def test_packing_is_close_to_best_fit_by_hand(spark):
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 100) for _ in range(700)] + [7] * 300
+    rows = pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length int"), 100).collect()
+    gaps = []  # best fit decreasing, one by one
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(100 - n)
+        else:
+            gaps[gaps.index(fit)] -= n
+    assert sorted(r.length for r in rows) == sorted(lengths)
+    assert len({r.sequence_id for r in rows}) <= 1.01 * len(gaps) + 1
+    place = defaultdict(list)
+    for r in rows:
+        place[r.sequence_id].append((r.offset, r.length))
     for parts in place.values():
-        assert sum(n for _, n in parts) <= 100 and all(o == sum(n for _, n in sorted(parts)[:i]) for i, (o, _) in enumerate(sorted(parts)))
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:i]) for i, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 100
 
 
 def test_token_tables(spark, docs, none):
     text = by_id(edge_rows())
     manifest = write_table(docs, BYTE, new_path(spark, "sst"), 2, block_bytes=200)
     start = 0
-    rows = sorted(read_table(manifest).collect(), key=lambda r: (r.doc_id, r.start))
-    assert [r.doc_id for r in rows] == sorted(i for i, *_ in edge_rows())
+    rows = sorted(read_table(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 3 + sorted(i for i, *_ in edge_rows() if i is not None)
+    assert sorted(bytes(r.ids) for r in rows[:3]) == sorted(np.array([*library_ids(BYTE, t), 2], "<u4").tobytes() for t in NULL_TEXTS)
+    start, rows = sum(len(bytes(r.ids)) // 4 for r in rows[:3]), rows[3:]
     for r in rows:
         want = [*library_ids(BYTE, text[r.doc_id]), 2]
         assert (r.start, np.frombuffer(bytes(r.ids), "<u4").tolist()) == (start, want)
@@ -220,12 +269,13 @@ def near_rows():
 
 @pytest.mark.parametrize(("n", "percent", "bucket"), [(3, 90, 128), (5, 80, 4)])
 def test_near_duplicates(spark, docs, none, n, percent, bucket):
-    rows = near_rows() + [r[:2] for r in edge_rows()]
+    rows = near_rows() + [r[:2] for r in edge_rows() if r[0] is not None]
     df = docs.select("doc_id", "text", "ids").unionByName(spark.createDataFrame(near_rows(), "doc_id long, text string"), allowMissingColumns=True)
     want = components_by_hand(rows, n, percent)
     got = near_duplicates(df, n, percent, bucket=bucket)[0].collect()
-    assert len(got) == len(rows)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len(got) == len(rows) + 3
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert {(r.n_shingles, r.component_id) for r in got if r.doc_id is None} == {(0, None), (7 - n + 1, None), (1, 6)}
     if bucket == 4:
         assert near_duplicates(none)[0].count() == 0
 
