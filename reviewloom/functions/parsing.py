@@ -77,3 +77,74 @@ def plain_html(x: Column) -> Column:
 
 def links(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit('href="([^"]*)"'), F.lit(1))
+
+
+#: Penn tags by their beginning and the word classes of a lexicon's keys.
+WORD_CLASSES = {"JJ": "a", "RB": "r", "NN": "n", "VB": "v"}
+#: Curly quotes and the plain ones for them.
+_CURLY, _PLAIN = "‘’“”", "''\"\""
+
+
+def word_class(tag: Column) -> Column:
+    """a, r, n or v for adjectives, adverbs, nouns and verbs; null for other tags."""
+    first = F.left(tag, F.lit(2))
+    return F.coalesce(*[F.when(first == k, F.lit(v)) for k, v in WORD_CLASSES.items()])
+
+
+def plain_quotes(x: Column) -> Column:
+    """Curly quotes as straight ones."""
+    return F.translate(x, _CURLY, _PLAIN)
+
+
+def first_letters_or_mark(x: Column) -> Column:
+    """The first run of ASCII letters or sentence mark ###; empty without one."""
+    return F.regexp_extract(x, "[a-zA-Z]+|#{3}", 0)
+
+
+def as_ratio(x: Column) -> Column:
+    """'3 of 5' as 3/5."""
+    return F.regexp_replace(F.trim(x), r"^([0-9]+)\s+of\s+([0-9]+)$", "$1/$2")
+
+
+def ratio_head(x: Column) -> Column:
+    """The number before the slash of '4/5'."""
+    return F.get(F.split(as_ratio(x), "/"), 0).try_cast("int")
+
+
+def amount_before(x: Column, unit: str) -> Column:
+    """The number, thousands separators left out, that stands before a unit: 12,500 for miles, 31.5 for hrs."""
+    found = F.regexp_extract(x, rf"([0-9][0-9,]*(?:\.[0-9]+)?)\s*{unit}", 1)
+    return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
+
+
+def date_of_parts(x: Column) -> Column:
+    """y-m-d as a date; texts with another number of parts, such as a month and day alone, give null."""
+    parts = F.split(x, "-")
+    at = lambda i: F.get(parts, i).try_cast("int")
+    text = F.format_string("%04d-%02d-%02d", at(0), at(1), at(2))
+    return F.when(F.size(parts) == 3, F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def folder_day(ts: Column) -> Column:
+    """yyyyMMdd, the name of a day's folder."""
+    return F.date_format(ts, "yyyyMMdd")
+
+
+def file_label(path: Column) -> Column:
+    """The label in a name such as reviews__pos.csv; null without one."""
+    return F.nullif(F.regexp_extract(path, r".+__(\w+)\.csv$", 1), F.lit(""))
+
+
+def unsplit_csv(path: Column) -> Column:
+    """Whether a file is a CSV file that no split has made."""
+    return path.endswith(".csv") & ~F.contains(path, F.lit("_split_"))
+
+
+def output_name(path: Column, ending: str) -> Column:
+    """The path of what is made from a file: its name without extension, then the ending."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(ending))
+
+
+def report_line(*cells: tuple[Column, int]) -> Column:
+    """Cells, each cut and padded to its width, in a row."""
+    return F.concat(*[F.rpad(c.cast("string"), n, " ") for c, n in cells])

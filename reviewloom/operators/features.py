@@ -91,3 +91,23 @@ def abc_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
     shared = c.withColumn("rank", F.row_number().over(W.orderBy("term"))).select("term", F.lit("C").alias("part"), "rank")
     return rest(a, "A").unionByName(rest(b, "B")).unionByName(shared)
+
+
+def substituted(weights: DataFrame, means: DataFrame, chosen: DataFrame) -> DataFrame:
+    """weights (doc_id, term, w) with the weight of each chosen term (term, appears) set in every document: its mean in
+    means (term, mean_w) if it is to appear, else none. Documents are those that weights has."""
+    docs = weights.select("doc_id").distinct()
+    put = chosen.filter("appears").join(means, "term").select("term", F.col("mean_w").alias("w"))
+    other = weights.join(F.broadcast(chosen.select("term")), "term", "left_anti").select("doc_id", "term", "w")
+    return other.unionByName(docs.withColumn("_puts", F.lit(1)).join(F.broadcast(put.withColumn("_puts", F.lit(1))), "_puts").select("doc_id", "term", "w"))
+
+
+def removed(weights: DataFrame, chosen: DataFrame) -> DataFrame:
+    """weights without the chosen terms."""
+    return weights.join(F.broadcast(chosen.select("term")), "term", "left_anti")
+
+
+def encoded_labels(rows: DataFrame, col: str) -> DataFrame:
+    """rows with `code`: the place of the label among the sorted labels, from 0."""
+    classes = rows.select(col).distinct().withColumn("code", F.row_number().over(W.orderBy(col)) - 1)
+    return rows.join(F.broadcast(classes), col)

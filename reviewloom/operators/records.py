@@ -46,3 +46,44 @@ def inverted_text(index: DataFrame, key: str, places: str) -> DataFrame:
     grouped = words.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("m"), F.max("i").alias("last"))
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.element_at("m", i), F.lit(""))), " ")
     return grouped.select(key, F.lower(text).alias("text"))
+
+
+def flattened(df: DataFrame, missing: int | None = None) -> DataFrame:
+    """df with the fields of its structs, at any depth, as columns outer_inner; integers equal to missing are null."""
+    from pyspark.sql import types as T
+
+    def leaves(fields: list[T.StructField], path: list[str]) -> list:
+        out = []
+        for f in fields:
+            at = [*path, f.name]
+            if isinstance(f.dataType, T.StructType):
+                out += leaves(f.dataType.fields, at)
+                continue
+            value = F.col(".".join(f"`{p}`" for p in at))
+            if missing is not None and isinstance(f.dataType, T.IntegralType):
+                value = F.nullif(value, F.lit(missing).cast(f.dataType))
+            out.append(value.alias("_".join(at)))
+        return out
+
+    return df.select(*leaves(df.schema.fields, []))
+
+
+def response_rows(responses: DataFrame, body: str, schema: str, path: str) -> DataFrame:
+    """A row for each element of the array at `path` of saved JSON responses, its fields as columns after the others."""
+    kept = [c for c in responses.columns if c != body]
+    parsed = responses.withColumn("_body", F.from_json(body, schema))
+    return parsed.select(*kept, F.inline(F.col(f"_body.{path}")))
+
+
+def until_empty(pages: DataFrame, source: str, offset: str, rows: str) -> DataFrame:
+    """Pages of each source before its first empty one, where a loop over offsets ends."""
+    ends = pages.filter(F.size(rows) == 0).groupBy(source).agg(F.min(offset).alias("_end"))
+    return pages.join(ends, source, "left").filter(F.col("_end").isNull() | (F.col(offset) < F.col("_end"))).drop("_end")
+
+
+def parsed_or_bad(rows: DataFrame, body: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose JSON text the schema fits, with its fields, and the others as they are, for a file beside the good ones."""
+    parsed = rows.withColumn("_parsed", F.from_json(body, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_parsed").isNull() | F.col("_parsed._corrupt").isNotNull()
+    fields = [c for c in rows.columns if c != body]
+    return parsed.filter(~bad).select(*fields, "_parsed.*").drop("_corrupt"), parsed.filter(bad).select(*rows.columns)

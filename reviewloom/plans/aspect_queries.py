@@ -26,17 +26,17 @@ ANN = SENT + r""", ws AS (SELECT doc_id, sent_idx, regexp_extract_all(sent, '[\p
  deps AS (SELECT *, CASE WHEN tag = 'NEG' AND tag1 <> '' THEN 'neg' WHEN tag = 'JJ' AND tag1 IN ('NN', 'NNS') THEN 'amod'
    WHEN tag = 'JJ' AND tag0 = 'VBZ' THEN 'acomp' WHEN tag IN ('NN', 'NNS') AND tag1 = 'VBZ' THEN 'nsubj' ELSE 'dep' END AS dep,
    CASE WHEN tag = 'NNS' THEN left(word, length(word) - 1) ELSE word END AS lemma FROM near),
- tokens AS (SELECT doc_id, sent_idx::INT AS sent_idx, tok_idx::INT AS tok_idx, word, lemma, tag, dep,
+ tokens AS MATERIALIZED (SELECT doc_id, sent_idx::INT AS sent_idx, tok_idx::INT AS tok_idx, word, lemma, tag, dep,
    CASE WHEN dep IN ('neg', 'amod', 'nsubj') THEN tok_idx + 1 WHEN dep = 'acomp' THEN tok_idx - 1 END::INT AS head_idx FROM deps)"""
 _COMMON = ", ".join(repr(x) for x in G.COMMON_TAGS)
 PAIRS = ANN + f""", side AS (SELECT doc_id, sent_idx, tok_idx + 1 AS tok_idx, lemma AS other, tag AS other_tag, true AS before FROM tokens
    UNION ALL SELECT doc_id, sent_idx, tok_idx - 1, lemma, tag, false FROM tokens),
- pairs AS (SELECT doc_id, sent_idx, least(lemma, other) AS w1, greatest(lemma, other) AS w2,
+ pairs AS MATERIALIZED (SELECT doc_id, sent_idx, least(lemma, other) AS w1, greatest(lemma, other) AS w2,
    (CASE WHEN before THEN other ELSE lemma END) = least(lemma, other) AS forward
    FROM tokens JOIN side USING (doc_id, sent_idx, tok_idx) WHERE tag IN ('NN', 'NNS') AND other_tag NOT IN ({_COMMON}) AND lemma <> other)"""
 BI = PAIRS + """, cnt AS (SELECT lemma, count(*) AS c FROM tokens GROUP BY lemma),
  bi0 AS (SELECT w1, w2, count(DISTINCT (doc_id, sent_idx)) AS n_sents, count(*) AS n_votes, sum(forward::INT) AS fwd FROM pairs GROUP BY ALL),
- bi AS (SELECT CASE WHEN n_votes - fwd > fwd THEN bi0.w2 ELSE bi0.w1 END AS w1, CASE WHEN n_votes - fwd > fwd THEN bi0.w1 ELSE bi0.w2 END AS w2,
+ bi AS MATERIALIZED (SELECT CASE WHEN n_votes - fwd > fwd THEN bi0.w2 ELSE bi0.w1 END AS w1, CASE WHEN n_votes - fwd > fwd THEN bi0.w1 ELSE bi0.w2 END AS w2,
    n_sents, n_votes, n_sents / (a.c * b.c) AS score FROM bi0 JOIN cnt a ON a.lemma = bi0.w1 JOIN cnt b ON b.lemma = bi0.w2 WHERE n_sents >= {least})"""
 TRI = BI.replace("{least}", "3") + """, rev AS (SELECT DISTINCT bi.w1, bi.w2, doc_id FROM bi JOIN pairs p ON p.w1 = least(bi.w1, bi.w2) AND p.w2 = greatest(bi.w1, bi.w2)),
  sz AS (SELECT w1, w2, count(*) AS n FROM rev GROUP BY ALL),
@@ -51,12 +51,13 @@ WLEX = W_ + ", vocab AS (SELECT DISTINCT term AS word FROM tf)," + LEX
 POL = TLEX + """, sp AS (SELECT doc_id, sent_idx, sum(coalesce(pos, 0)) AS p, sum(coalesce(neg, 0)) AS n, count(*) AS c, bool_or(word IN ('no', 'not', 'but', 'however')) AS flip
    FROM tokens LEFT JOIN lex ON word = token GROUP BY ALL),
  pol AS (SELECT doc_id, sent_idx, (CASE WHEN flip THEN -1 ELSE 1 END) * CASE WHEN abs(p - n) / c >= 0.1 THEN CASE WHEN p > n THEN p ELSE -n END ELSE 0 END AS polarity FROM sp)"""
-ASP = POL + """, top AS (SELECT lemma, count(DISTINCT doc_id) AS n_reviews FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY lemma ORDER BY n_reviews DESC, lemma LIMIT 20),
+ASP = POL + """, top AS (SELECT lemma, count(DISTINCT doc_id) AS n_reviews FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY lemma),
+ ls AS (SELECT doc_id, sent_idx, sum(s) AS lx FROM tokens JOIN lex ON word = token GROUP BY ALL),
  occ AS (SELECT DISTINCT lemma, doc_id, sent_idx FROM tokens SEMI JOIN top USING (lemma)),
- rev AS (SELECT lemma, doc_id, doc_id % 5 + 1 AS rating, floor(avg(polarity) * 1e6) / 1e6 AS blob, count(*) AS n_sents, min(sent_idx) AS first_sent FROM occ JOIN pol USING (doc_id, sent_idx) GROUP BY ALL),
- cls AS (SELECT *, CASE WHEN rating = 5 AND blob > 0.1 THEN 'pos' WHEN rating = 4 AND blob > 0.45 THEN 'pos' WHEN rating = 4 AND blob > 0.2 THEN CASE WHEN n_sents >= 4 THEN 'pos' ELSE 'mixed' END
-   WHEN rating = 3 AND blob > 0.7 THEN 'pos' WHEN rating <= 3 AND blob < 0 THEN 'neg' WHEN rating = 2 AND blob <= 0.175 THEN CASE WHEN n_sents < 0 THEN 'neg' ELSE 'mixed' END
-   WHEN rating = 1 AND blob <= 0.2 THEN CASE WHEN n_sents < 0 THEN 'neg' ELSE 'mixed' END ELSE 'mixed' END AS class FROM rev)"""
+ rev AS (SELECT lemma, doc_id, doc_id % 5 + 1 AS rating, floor(avg(polarity) * 1e6) / 1e6 AS blob, count(*) AS n_sents, min(sent_idx) AS first_sent, sum(coalesce(lx, 0)) AS lx FROM occ JOIN pol USING (doc_id, sent_idx) LEFT JOIN ls USING (doc_id, sent_idx) GROUP BY ALL),
+ cls AS (SELECT *, CASE WHEN rating = 5 AND blob > 0.1 THEN 'pos' WHEN rating = 4 AND blob > 0.45 THEN 'pos' WHEN rating = 4 AND blob > 0.2 THEN CASE WHEN lx >= 4 THEN 'pos' ELSE 'mixed' END
+   WHEN rating = 3 AND blob > 0.7 THEN 'pos' WHEN rating <= 3 AND blob < 0 THEN 'neg' WHEN rating = 2 AND blob <= 0.175 THEN CASE WHEN lx < 0 THEN 'neg' ELSE 'mixed' END
+   WHEN rating = 1 AND blob <= 0.2 THEN CASE WHEN lx < 0 THEN 'neg' ELSE 'mixed' END ELSE 'mixed' END AS class FROM rev)"""
 
 
 def tokens(t: Tables) -> DataFrame:
@@ -132,7 +133,7 @@ def unigram_review_dedupe(t: Tables) -> DataFrame:
 
 
 @query("WITH " + TRI + """, inside AS (SELECT least(w1, w2) AS a, greatest(w1, w2) AS b FROM tri UNION SELECT least(w2, w3), greatest(w2, w3) FROM tri UNION SELECT least(w1, w3), greatest(w1, w3) FROM tri)
- SELECT w1, w2, n_sents FROM bi WHERE (least(w1, w2), greatest(w1, w2)) NOT IN (SELECT (a, b) FROM inside)""")
+ SELECT w1, w2, n_sents FROM bi ANTI JOIN inside ON least(w1, w2) = a AND greatest(w1, w2) = b""")
 def bigram_subsumed(t: Tables) -> DataFrame:
     a = tokens(t)
     found = G.bigrams(a, 3)
@@ -204,23 +205,29 @@ def adjective_noun_score(t: Tables) -> DataFrame:
     return L.adjective_noun(a, lexicon(a, "word")).withColumn("score", F.round("score", 6))
 
 
-def _top(a: DataFrame) -> DataFrame:
+def _aspects(a: DataFrame) -> DataFrame:
     nouns = a.filter(F.col("tag").isin(*A.NOUNS)).select("lemma", "doc_id").distinct()
-    return nouns.groupBy("lemma").agg(F.count("*").alias("n_reviews")).orderBy(F.desc("n_reviews"), "lemma").limit(20)
+    return nouns.groupBy("lemma").agg(F.count("*").alias("n_reviews"))
 
 
 def _aspect_reviews(t: Tables) -> DataFrame:
+    """Each noun in each review: mean polarity of its sentences, and their words' signed lexicon scores as one sum."""
     a = tokens(t)
-    occ = a.join(F.broadcast(_top(a).select("lemma")), "lemma", "left_semi").select("lemma", "doc_id", "sent_idx").distinct()
-    pol = L.sentence_polarity(a, lexicon(a, "word"))
-    per = occ.join(pol, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id").agg((F.floor(F.avg("polarity") * 1e6) / 1e6).alias("blob"), F.count("*").alias("n_sents"), F.min("sent_idx").alias("first_sent"))
+    lex = lexicon(a, "word")
+    occ = a.join(_aspects(a).select("lemma"), "lemma", "left_semi").select("lemma", "doc_id", "sent_idx").distinct()
+    pol = L.sentence_polarity(a, lex)
+    signed = F.when(F.greatest("pos", "neg", "obj") == F.col("pos"), F.col("pos")).when(F.greatest("pos", "neg", "obj") == F.col("neg"), -F.col("neg")).otherwise(F.lit(0.0))
+    sums = a.join(lex.select(F.col("token").alias("word"), signed.alias("s")), "word").groupBy("doc_id", "sent_idx").agg(F.sum("s").alias("lx"))
+    per = occ.join(pol, ["doc_id", "sent_idx"]).join(sums, ["doc_id", "sent_idx"], "left").groupBy("lemma", "doc_id").agg(
+        (F.floor(F.avg("polarity") * 1e6) / 1e6).alias("blob"), F.count("*").alias("n_sents"), F.min("sent_idx").alias("first_sent"), F.sum(F.coalesce("lx", F.lit(0.0))).alias("lx")
+    )
     per = per.withColumn("rating", F.col("doc_id") % 5 + 1)
-    return per.withColumn("class", L.polarity_class(F.col("rating"), F.col("blob"), F.col("n_sents")))
+    return per.withColumn("class", L.polarity_class(F.col("rating"), F.col("blob"), F.col("lx")))
 
 
 @query("WITH " + ASP + " SELECT lemma, n_reviews FROM top")
 def top_aspects(t: Tables) -> DataFrame:
-    return _top(tokens(t))
+    return _aspects(tokens(t))
 
 
 @query("WITH " + ASP + " SELECT lemma, doc_id, rating, blob + 0 AS blob, n_sents, first_sent, class FROM cls")

@@ -239,13 +239,14 @@ def normalize_three_tables(t: Tables) -> DataFrame:
     return part("review", "o_orderstatus", "o_orderpriority").unionByName(part("line", "l_partkey", "l_linenumber")).unionByName(part("customer", "c_name", "c_mktsegment"))
 
 
-_EVENTS = "ev AS (SELECT 'u' || (user_id % 40) AS url, ts, event_id, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'succ' ELSE 'pend' END AS status FROM events WHERE user_id % 40 < 30 OR event_type <> 'purchase')"
+_EVENTS = "ev AS (SELECT 'u' || user_id AS url, ts, event_id, CASE WHEN event_type = 'error' THEN 'fail' WHEN event_type = 'purchase' AND user_id % 4 < 3 THEN 'succ' ELSE 'pend' END AS status FROM events)"
 
 
 def crawled(t: Tables) -> DataFrame:
-    status = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "succ").otherwise("pend")
-    rows = t.events.filter("user_id % 40 < 30 or event_type <> 'purchase'")
-    return rows.select(F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("url"), "ts", "event_id", status.alias("status"))
+    """Every event as a visit of its user's link; a purchase is a success for three links in four."""
+    success = (F.col("event_type") == "purchase") & (F.col("user_id") % 4 < 3)
+    status = F.when(F.col("event_type") == "error", "fail").when(success, "succ").otherwise("pend")
+    return t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), "ts", "event_id", status.alias("status"))
 
 
 _STATUS = _EVENTS + ", st AS (SELECT url, CASE WHEN bool_or(status = 'succ') THEN 'succ' ELSE arg_max(status, (ts, event_id)) END AS status FROM ev GROUP BY url)"

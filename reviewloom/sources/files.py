@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -65,3 +66,23 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False, rows_per_file:
 def write_csv_by(df: DataFrame, path: str, *groups: str) -> None:
     """One folder for each group."""
     df.write.mode("overwrite").partitionBy(*groups).option("header", True).csv(path)
+
+
+def write_csv_indexed(df: DataFrame, path: str, order: list[str], index: str = "index") -> None:
+    """CSV with a column of places from 0 in the given order: ranges are sorted side by side, and each is numbered
+    from the sum of the counts before it."""
+    write_csv(with_index(df, order, index), path)
+
+
+def with_index(df: DataFrame, order: list[str], index: str = "index") -> DataFrame:
+    """df with the place of each row, from 0, in the given order."""
+    part, own = "_part", "_own"
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(own, F.monotonically_increasing_id() % (1 << 33))
+    counts = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(counts.select(part, before.alias("_before"))), part).select((F.col("_before") + F.col(own)).alias(index), *df.columns)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line."""
+    df.write.mode("overwrite").json(path)
