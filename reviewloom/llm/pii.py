@@ -35,6 +35,8 @@ _LONGEST = 34
 _MARKS = r"""[\s.,;:!?()\[\]{}"'<>]"""
 #: Marks before an identifier; a bracket that is closed within it is its own.
 _HEAD_MARKS = r"""^(?:(?!\()[\s.,;:!?()\[\]{}"'<>]|\((?![^()]*\)[^()]*[\p{L}0-9]))+"""
+#: Matches whose places are summed at a time.
+_SLICE = 256
 _EMPTY = "array<struct<start:int,stop:int,value:string,patterns:array<string>>>"
 
 
@@ -45,18 +47,34 @@ def _hits(text: Column, pattern: str) -> Column:
     return F.element_at(F.transform(made, lambda m: _placed(m["gaps"], m["found"])), 1)
 
 
+def _starts(sizes: Column) -> Column:
+    """Where each match starts, from the lengths of gaps and matches. Sums run over slices of _SLICE matches, so that
+    no array of all the starts so far is copied for each match."""
+
+    def within(part: Column, at: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(at.alias("at"), F.array().cast("array<int>").alias("all")),
+            lambda acc, x: F.struct((acc["at"] + x["gap"] + x["match"]).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x["gap"])).alias("all")),
+        )
+
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _SLICE).cast("int")), lambda i: F.slice(sizes, i * _SLICE + 1, F.lit(_SLICE)))
+    return F.aggregate(
+        slices,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all")),
+        lambda acc, part: F.element_at(
+            F.transform(F.array(within(part, acc["at"])), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["all"], F.array(r["all"])).alias("all"))), 1
+        ),
+        lambda acc: F.flatten(acc["all"]),
+    )
+
+
 def _placed(gaps: Column, found: Column) -> Column:
     """The structs of _hits from matches and what is between them."""
     none = F.array(F.lit(""))
-    starts = F.aggregate(
-        F.arrays_zip(found.alias("v"), gaps.alias("g")),  # one more gap than matches
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"),
-            F.concat(acc["all"], F.array(acc["at"] + F.length(x["g"]))).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
+    pairs = F.arrays_zip(found.alias("v"), gaps.alias("g"))  # one more gap than matches
+    sizes = F.transform(pairs, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.coalesce(F.length(x["v"]), F.lit(0)).alias("match")))
+    starts = F.element_at(F.transform(F.array(sizes), _starts), 1)
     rest = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
     rows = F.arrays_zip(
         found.alias("v"), starts.alias("s"), gaps.alias("g"), F.concat(none, found).alias("v0"), rest(gaps).alias("g1"), rest(found).alias("v1")
