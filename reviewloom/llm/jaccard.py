@@ -289,8 +289,10 @@ def near_duplicates(
     found = reduce(DataFrame.unionByName, links) if links else docs.sparkSession.createDataFrame([], "x long, y long")
     parts = components(found).select(F.col("id").alias("rep"), "component")
     named = classes.join(parts, "rep", "left").select(*_KEY, "rep", "least", "component")
-    least = named.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = compact(named.join(least, "component", "left").select(*_KEY, "rep", "least", F.coalesce("component_id", "least").alias("component_id")), "jaccard-classes")
+    linked, alone = named.filter("component is not null"), named.filter("component is null")  # most are alone: no key of a join
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    told = linked.join(least, "component").select(*_KEY, "rep", "least", "component_id")
+    named = compact(told.unionByName(alone.select(*_KEY, "rep", "least", F.col("least").alias("component_id"))), "jaccard-classes")
     result = every.select("doc_id", *_KEY).join(named.select(*_KEY, "component_id"), _KEY, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
