@@ -339,6 +339,12 @@ def test_contexts_of_matches_with_blanks(spark):
     assert {r.doc_id: [tuple(s) for s in r.spans] for r in got} == want
 
 
+def test_bars_of_a_table_are_no_context(spark):
+    rows = [(i, f"| key{i}@box{i}.com | +1 743 555 38{i:02} |") for i in range(8)] + [(20, "| 9093441080585879 | 12ab-34cd |")]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id = 20").first()
+    assert got.spans == []
+
+
 def test_contexts_spread_until_they_settle(spark):
     rows = [(i, f"please mail me on key{i}@box{i}.com now") for i in range(6)]
     for step in range(3):  # the values of each step make the next step's context sure
@@ -365,6 +371,22 @@ def test_top_k(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_over_many_tiles(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 16)) * 8
+    base = [(centres[i % 6] + rng.normal(size=16)).round(3).tolist() for i in range(500)]
+    rows = [*enumerate(base), (40, base[41]), (40, base[3]), (77, base[40]), *[(90, base[90])] * 30]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    v = [(i, np.floor(1024 * np.array(x)).astype(np.int64)) for i, x in rows]
+    want = []
+    for q in range(0, 500, 10):
+        vq = np.array(max(x.tolist() for i, x in v if i == q))
+        best = sorted((-int(vq @ x), c) for c, x in v if c != q)[:7]
+        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    got = top_k(df, 7, 10, chunk_bytes=1024, tile_blocks=1, tile_chunks=3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def auc(pairs):
     pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
