@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,13 +80,16 @@ class _Best:
                     self.add(i, ids[wanted[at]], own[at])
 
 
-def _sign_order(v: Column) -> Column:
-    """The signs of the sums of a vector's sixteenths, as text: vectors that are alike are near in this order."""
-    n, size = max(RESOLUTIONS), F.size(v)
-    edge = lambda s: F.floor(s * size / n).cast("int")
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: total(F.slice(v, edge(s) + 1, edge(s + 1) - edge(s))))
-    return F.array_join(F.transform(sums, lambda t: F.when(t > 0, "1").otherwise("0")), "")
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the signs of the sums of a vector's sixteenths, as text: vectors that are alike are near in this order."""
+    for b in batches:
+        dims = b.column(1).to_numpy()
+        for d in np.unique(dims).tolist():
+            same = b.filter(pa.array(dims == d))
+            x = same.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
+            signs = np.where(_segments(x, max(RESOLUTIONS))[0] > 0, b"1", b"0")
+            near = [row.tobytes().decode() for row in signs]
+            yield pa.RecordBatch.from_arrays([*same.columns, pa.array(near, pa.string())], [*same.schema.names, "near"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int, most: int) -> Iterator[tuple[int, int, pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -199,7 +202,8 @@ def top_k(
     def near(rows: DataFrame) -> DataFrame:
         # by place of reading too, so that repeated rows don't all go to one task
         order = ("dim", "near", "vec_id", "read")
-        return rows.withColumn("near", _sign_order(F.col("v"))).withColumn("read", F.spark_partition_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+        signed = rows.mapInArrow(_signed, "vec_id long, dim int, v array<long>" + ", floor long" * ("floor" in rows.columns) + ", near string")
+        return signed.withColumn("read", F.spark_partition_id()).repartitionByRange(*order).sortWithinPartitions(*order)
 
     chunks = written(near(whole).select("vec_id", "dim", "v").mapInArrow(_chunks(k, every, chunk_bytes), _CHUNK), "topk-chunks")
     # of an id's several rows the least floor holds for whichever is the query
