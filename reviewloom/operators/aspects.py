@@ -19,10 +19,13 @@ def sentence_count(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "sent_idx").distinct().agg(F.count("*").alias("n_sent"))
 
 
-def unigrams(tokens: DataFrame, min_pct: float = 0.001, a_pct: float = 0.0) -> DataFrame:
+def unigrams(tokens: DataFrame, min_pct: float = 0.001, a_pct: float = 0.0, among: DataFrame | None = None) -> DataFrame:
     """(lemma, n_occ, n_sents, n_reviews, a_share): nouns in at least min_pct of all sentences, of whose dependents at
-    least a_pct are adjectives; a noun without dependents stays, with a null share."""
+    least a_pct are adjectives; a noun without dependents stays, with a null share. Only those of among (lemma) count,
+    if it is given."""
     nouns = tokens.filter(F.col("tag").isin(*NOUNS))
+    if among is not None:
+        nouns = nouns.join(among.select("lemma"), "lemma", "left_semi")
     per_sentence = nouns.groupBy("lemma", "doc_id", "sent_idx").agg(F.count("*").alias("occ"))
     per_review = per_sentence.groupBy("lemma", "doc_id").agg(F.count("*").alias("sents"), F.sum("occ").alias("occ"))
     support = per_review.groupBy("lemma").agg(F.sum("occ").alias("n_occ"), F.sum("sents").alias("n_sents"), F.count("*").alias("n_reviews"))
@@ -54,10 +57,14 @@ def noun_neighbours(tokens: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "sent_idx", w1.alias("w1"), F.greatest("lemma", "other").alias("w2"), (first == w1).alias("forward"))
 
 
-def bigrams(tokens: DataFrame, min_sents: int = 2, min_score: float = 0.0) -> DataFrame:
+def bigrams(tokens: DataFrame, min_sents: int = 2, min_score: float = 0.0, among: DataFrame | None = None) -> DataFrame:
     """(w1, w2, n_sents, n_votes, score): pairs in at least min_sents sentences, oriented by the votes of their
-    occurrences; score is sentences over the product of the lemmas' counts."""
-    per = noun_neighbours(tokens).groupBy("w1", "w2", "doc_id", "sent_idx").agg(F.count("*").alias("votes"), F.sum(F.col("forward").cast("int")).alias("fwd"))
+    occurrences; score is sentences over the product of the lemmas' counts. Both words are of among (lemma), if it is
+    given."""
+    near = noun_neighbours(tokens)
+    for w in ("w1", "w2") if among is not None else ():
+        near = near.join(among.select(F.col("lemma").alias(w)), w, "left_semi")
+    per = near.groupBy("w1", "w2", "doc_id", "sent_idx").agg(F.count("*").alias("votes"), F.sum(F.col("forward").cast("int")).alias("fwd"))
     pair = per.groupBy("w1", "w2").agg(F.count("*").alias("n_sents"), F.sum("votes").alias("n_votes"), F.sum("fwd").alias("fwd"))
     counts = lemma_counts(tokens)
     scored = (
@@ -86,3 +93,29 @@ def trigrams(tokens: DataFrame, found: DataFrame, min_overlap: float = 0.09) ->
         .filter(F.col("n_reviews") / F.least("na", "nb") >= min_overlap)
         .select("w1", "w2", "w3", "n_reviews")
     )
+
+
+def occurrences(tokens: DataFrame, found: DataFrame, chained: DataFrame) -> DataFrame:
+    """(lemma, doc_id, sent_idx): the sentences of each aspect, its words joined by blanks: nouns, the bigrams found, and
+    trigrams, which stand in the sentences of their two bigrams in the reviews that hold both."""
+    nouns = tokens.filter(F.col("tag").isin(*NOUNS)).select("lemma", "doc_id", "sent_idx").distinct()
+    near = noun_neighbours(tokens).select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "doc_id", "sent_idx").distinct()
+    keyed = found.select("w1", "w2", F.least("w1", "w2").alias("k1"), F.greatest("w1", "w2").alias("k2"))
+    two = keyed.join(near, ["k1", "k2"]).select("w1", "w2", "doc_id", "sent_idx")
+    later = two.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), "doc_id", "sent_idx")
+    both = (
+        chained.select("w1", "w2", "w3")
+        .join(two.select("w1", "w2", "doc_id").distinct(), ["w1", "w2"])
+        .join(later.select("w2", "w3", "doc_id").distinct(), ["w2", "w3", "doc_id"])
+    )
+    sides = both.join(two, ["w1", "w2", "doc_id"]).unionByName(both.join(later, ["w2", "w3", "doc_id"]))
+    named = lambda df, *words: df.select(F.concat_ws(" ", *words).alias("lemma"), "doc_id", "sent_idx")
+    return nouns.unionByName(named(two, "w1", "w2")).unionByName(named(sides, "w1", "w2", "w3").distinct())
+
+
+def rare(tokens: DataFrame, most_log_share: float = -7.5, excluded: DataFrame | None = None) -> DataFrame:
+    """(lemma): lemmas whose natural log of their share of all tokens is below most_log_share, without those that
+    excluded (lemma) lists as no aspects."""
+    total = tokens.agg(F.count("*").alias("n_all"))
+    kept = lemma_counts(tokens).join(F.broadcast(total)).filter(F.log(F.col("cnt") / F.col("n_all")) < most_log_share).select("lemma")
+    return kept if excluded is None else kept.join(excluded, "lemma", "left_anti")

@@ -6,14 +6,15 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .places import placed
+
 
 def folds(labels: DataFrame, k: int) -> DataFrame:
     """labels (doc_id, cls) with fold: each class dealt out evenly in the order of a hash."""
-    place = F.row_number().over(W.partitionBy("cls").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return labels.withColumn("fold", place % k)
+    dealt = placed(labels, [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], ["cls"])
+    return dealt.withColumn("fold", (F.col("place") % k).cast("int")).drop("place")
 
 
 def prefix_vectors(weights: DataFrame, ranking: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -42,5 +43,6 @@ def cross_validated(weights: DataFrame, ranking: DataFrame, labels: DataFrame, k
             out.append((k, acc, sum(kinds) / len(kinds) if kinds else None, auc.evaluate(guessed) if len(kinds) == 2 else None))
             guessed.unpersist()
         data.unpersist()
+    dealt.unpersist()
     scores = spark.createDataFrame(out, "k int, acc double, bal double, auc double")
     return scores.groupBy("k").agg(F.avg("acc").alias("accuracy"), F.avg("bal").alias("balanced_accuracy"), F.avg("auc").alias("roc_auc"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .places import placed
+
 
 def updated_text(rows: DataFrame, changes: DataFrame, key: str, col: str) -> DataFrame:
     """rows with col replaced where changes (key, col) has the key; the greatest text counts if there are several."""
@@ -24,7 +25,7 @@ def upserted_two_levels(parents: DataFrame, batch: DataFrame, name: str, child_k
     """Parents with a surrogate id after the stored ones, and the batch's children under them, one for each key."""
     last = parents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     new = batch.select(name).distinct().join(parents.select(name), name, "left_anti")
-    numbered = new.withColumn("n", F.row_number().over(W.orderBy(name))).join(F.broadcast(last)).select((F.col("last") + F.col("n")).alias("id"), name)
+    numbered = placed(new, [F.col(name)], name="n").join(F.broadcast(last)).select((F.col("last") + F.col("n")).alias("id"), name)
     every = parents.select("id", name).unionByName(numbered)
     children = batch.join(every, name).dropDuplicates(["id", *child_key])
     return every, children

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .places import placed
+
 
 def present(cols: list[Column]) -> Column:
     """The values of a row's columns as doubles, without nulls and -1."""
@@ -73,6 +74,7 @@ class Interval:
         return low & high
 
 
+#: Fixed values.
 PRESETS = {
     "variance": (Interval(0, 0, True, True), Interval(0, 1, False, True), Interval(1, None)),
     "skewness": (Interval(None, 0), Interval(0, 0, True, True), Interval(0, None)),
@@ -80,6 +82,13 @@ PRESETS = {
     "range": (Interval(0, 0, True, True), Interval(0, 3, False, True), Interval(3, None)),
 }
 
+#: Fixed values of a second preset; ranges have none there.
+COARSE_PRESETS = {
+    "variance": (Interval(None, 1, False, True), Interval(1, None)),
+    "skewness": (Interval(None, 0), Interval(0, 0, True, True), Interval(0, None)),
+    "kurtosis": (Interval(None, 3, False, True), Interval(3, None)),
+}
+
 
 def interval_name(x: Column, intervals: tuple[Interval, ...]) -> Column:
     """Name of the first interval that holds x; null if none does."""
@@ -95,8 +104,7 @@ def resampled(rows: DataFrame, cls: str, to: str, seed: int = 41) -> DataFrame:
     of a hash of id and seed, to "minor" keeps the first of the larger ones in that order."""
     sizes = rows.groupBy(cls).agg(F.count("*").alias("n"))
     target = sizes.agg((F.max if to == "major" else F.min)("n").alias("target"))
-    place = F.row_number().over(W.partitionBy(cls).orderBy(_draw(seed), "id"))
-    held = rows.withColumn("place", place).join(F.broadcast(sizes), cls).join(F.broadcast(target))
+    held = placed(rows, [_draw(seed), F.col("id")], [cls]).join(F.broadcast(sizes), cls).join(F.broadcast(target))
     # copy j of the row at place p stands at place p + j * n
     copies = F.floor((F.col("target") - F.col("place")) / F.col("n")).cast("int")
     return (

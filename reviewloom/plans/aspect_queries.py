@@ -48,16 +48,23 @@ LEX = """ lex0 AS (SELECT token, ('0x' || substr(md5(token), 3, 2))::INT / 256 A
  lex AS (SELECT *, CASE WHEN greatest(pos, neg, obj) = pos THEN pos WHEN greatest(pos, neg, obj) = neg THEN -neg ELSE 0 END AS s FROM lex1)"""
 TLEX = ANN + ", vocab AS (SELECT DISTINCT word FROM tokens)," + LEX
 WLEX = W_ + ", vocab AS (SELECT DISTINCT term AS word FROM tf)," + LEX
-POL = TLEX + """, sp AS (SELECT doc_id, sent_idx, sum(coalesce(pos, 0)) AS p, sum(coalesce(neg, 0)) AS n, count(*) AS c, bool_or(word IN ('no', 'not', 'but', 'however')) AS flip
+_POL = """, sp AS (SELECT doc_id, sent_idx, sum(coalesce(pos, 0)) AS p, sum(coalesce(neg, 0)) AS n, count(*) AS c, bool_or(word IN ('no', 'not', 'but', 'however')) AS flip
    FROM tokens LEFT JOIN lex ON word = token GROUP BY ALL),
  pol AS (SELECT doc_id, sent_idx, (CASE WHEN flip THEN -1 ELSE 1 END) * CASE WHEN abs(p - n) / c >= 0.1 THEN CASE WHEN p > n THEN p ELSE -n END ELSE 0 END AS polarity FROM sp)"""
-ASP = POL + """, top AS (SELECT lemma, count(DISTINCT doc_id) AS n_reviews FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY lemma),
+POL = TLEX + _POL
+OCC = TRI + """, bs AS MATERIALIZED (SELECT DISTINCT bi.w1, bi.w2, p.doc_id, p.sent_idx FROM bi JOIN pairs p ON p.w1 = least(bi.w1, bi.w2) AND p.w2 = greatest(bi.w1, bi.w2)),
+ td AS MATERIALIZED (SELECT DISTINCT t.w1, t.w2, t.w3, a.doc_id FROM tri t JOIN bs a ON a.w1 = t.w1 AND a.w2 = t.w2 JOIN bs b ON b.w1 = t.w2 AND b.w2 = t.w3 AND b.doc_id = a.doc_id),
+ occ AS MATERIALIZED (SELECT lemma, doc_id, sent_idx FROM tokens WHERE tag IN ('NN', 'NNS')
+  UNION SELECT w1 || ' ' || w2, doc_id, sent_idx FROM bs
+  UNION SELECT td.w1 || ' ' || td.w2 || ' ' || td.w3, doc_id, sent_idx FROM td JOIN bs USING (w1, w2, doc_id)
+  UNION SELECT td.w1 || ' ' || td.w2 || ' ' || td.w3, td.doc_id, sent_idx FROM td JOIN bs ON bs.w1 = td.w2 AND bs.w2 = td.w3 AND bs.doc_id = td.doc_id),
+ top AS (SELECT lemma, count(DISTINCT doc_id) AS n_reviews FROM occ GROUP BY lemma)"""
+ASP = OCC + ", vocab AS (SELECT DISTINCT word FROM tokens)," + LEX + _POL + """,
  ls AS (SELECT doc_id, sent_idx, sum(s) AS lx FROM tokens JOIN lex ON word = token GROUP BY ALL),
- occ AS (SELECT DISTINCT lemma, doc_id, sent_idx FROM tokens SEMI JOIN top USING (lemma)),
- rev AS (SELECT lemma, doc_id, doc_id % 5 + 1 AS rating, floor(avg(polarity) * 1e6) / 1e6 AS blob, count(*) AS n_sents, min(sent_idx) AS first_sent, sum(coalesce(lx, 0)) AS lx FROM occ JOIN pol USING (doc_id, sent_idx) LEFT JOIN ls USING (doc_id, sent_idx) GROUP BY ALL),
+ per AS (SELECT lemma, doc_id, doc_id % 5 + 1 AS rating, floor(avg(polarity) * 1e6) / 1e6 AS blob, count(*) AS n_sents, min(sent_idx) AS first_sent, sum(coalesce(lx, 0)) AS lx FROM occ JOIN pol USING (doc_id, sent_idx) LEFT JOIN ls USING (doc_id, sent_idx) GROUP BY ALL),
  cls AS (SELECT *, CASE WHEN rating = 5 AND blob > 0.1 THEN 'pos' WHEN rating = 4 AND blob > 0.45 THEN 'pos' WHEN rating = 4 AND blob > 0.2 THEN CASE WHEN lx >= 4 THEN 'pos' ELSE 'mixed' END
    WHEN rating = 3 AND blob > 0.7 THEN 'pos' WHEN rating <= 3 AND blob < 0 THEN 'neg' WHEN rating = 2 AND blob <= 0.175 THEN CASE WHEN lx < 0 THEN 'neg' ELSE 'mixed' END
-   WHEN rating = 1 AND blob <= 0.2 THEN CASE WHEN lx < 0 THEN 'neg' ELSE 'mixed' END ELSE 'mixed' END AS class FROM rev)"""
+   WHEN rating = 1 AND blob <= 0.2 THEN CASE WHEN lx < 0 THEN 'neg' ELSE 'mixed' END ELSE 'mixed' END AS class FROM per)"""
 
 
 def tokens(t: Tables) -> DataFrame:
@@ -205,16 +212,16 @@ def adjective_noun_score(t: Tables) -> DataFrame:
     return L.adjective_noun(a, lexicon(a, "word")).withColumn("score", F.round("score", 6))
 
 
-def _aspects(a: DataFrame) -> DataFrame:
-    nouns = a.filter(F.col("tag").isin(*A.NOUNS)).select("lemma", "doc_id").distinct()
-    return nouns.groupBy("lemma").agg(F.count("*").alias("n_reviews"))
+def _occurrences(a: DataFrame) -> DataFrame:
+    found = G.bigrams(a, 3)
+    return G.occurrences(a, found, G.trigrams(a, found, 0.09))
 
 
 def _aspect_reviews(t: Tables) -> DataFrame:
-    """Each noun in each review: mean polarity of its sentences, and their words' signed lexicon scores as one sum."""
+    """Each aspect (noun, bigram or trigram) in each review: mean polarity of its sentences, and their words' signed lexicon scores as one sum."""
     a = tokens(t)
     lex = lexicon(a, "word")
-    occ = a.join(_aspects(a).select("lemma"), "lemma", "left_semi").select("lemma", "doc_id", "sent_idx").distinct()
+    occ = _occurrences(a)
     pol = L.sentence_polarity(a, lex)
     signed = F.when(F.greatest("pos", "neg", "obj") == F.col("pos"), F.col("pos")).when(F.greatest("pos", "neg", "obj") == F.col("neg"), -F.col("neg")).otherwise(F.lit(0.0))
     sums = a.join(lex.select(F.col("token").alias("word"), signed.alias("s")), "word").groupBy("doc_id", "sent_idx").agg(F.sum("s").alias("lx"))
@@ -225,9 +232,31 @@ def _aspect_reviews(t: Tables) -> DataFrame:
     return per.withColumn("class", L.polarity_class(F.col("rating"), F.col("blob"), F.col("lx")))
 
 
-@query("WITH " + ASP + " SELECT lemma, n_reviews FROM top")
+@query("WITH " + OCC + " SELECT lemma, n_reviews FROM top")
 def top_aspects(t: Tables) -> DataFrame:
-    return _aspects(tokens(t))
+    per = _occurrences(tokens(t)).select("lemma", "doc_id").distinct()
+    return per.groupBy("lemma").agg(F.count("*").alias("n_reviews")).orderBy(F.desc("n_reviews"), "lemma")
+
+
+@query("WITH " + OCC + """, txt AS (SELECT lemma, doc_id, string_agg(sent, '' ORDER BY sent_idx) AS text, min(sent_idx) AS first_sent FROM occ JOIN sents USING (doc_id, sent_idx) GROUP BY ALL)
+ SELECT lemma, doc_id, md5(text) AS text_md5, length(text) AS text_length, first_sent::INT AS first_sent FROM txt""")
+def aspect_texts(t: Tables) -> DataFrame:
+    """The sentences of each aspect in each review as one text."""
+    sents = t.documents.select("doc_id", F.posexplode(sentences(F.lower("text"))).alias("sent_idx", "sent"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sent"))), lambda s: s["sent"]), "")
+    per = _occurrences(tokens(t)).join(sents, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id").agg(text.alias("text"), F.min("sent_idx").alias("first_sent"))
+    return per.select("lemma", "doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_length"), "first_sent")
+
+
+_RARE = ANN + """, rare AS (SELECT lemma FROM (SELECT lemma, count(*) AS c, sum(count(*)) OVER () AS n FROM tokens GROUP BY lemma) WHERE ln(c / n) < -5 AND lemma NOT IN ('the', 'data')),
+ occ AS (SELECT lemma, count(*) AS n_occ, count(DISTINCT (doc_id, sent_idx)) AS n_sents, count(DISTINCT doc_id) AS n_reviews FROM tokens SEMI JOIN rare USING (lemma) WHERE tag IN ('NN', 'NNS') GROUP BY lemma)"""
+
+
+@query("WITH " + _RARE + " SELECT lemma, n_occ, n_sents, n_reviews FROM occ")
+def rare_unigrams(t: Tables) -> DataFrame:
+    a = tokens(t)
+    excluded = a.sparkSession.createDataFrame([("the",), ("data",)], "lemma string")
+    return G.unigrams(a, 0.0, 0.0, G.rare(a, -5.0, excluded)).drop("a_share")
 
 
 @query("WITH " + ASP + " SELECT lemma, doc_id, rating, blob + 0 AS blob, n_sents, first_sent, class FROM cls")
@@ -235,6 +264,14 @@ def aspect_polarity(t: Tables) -> DataFrame:
     return _aspect_reviews(t).select("lemma", "doc_id", "rating", (F.col("blob") + 0.0).alias("blob"), "n_sents", "first_sent", "class")
 
 
+@query("WITH " + ASP + " SELECT lemma, doc_id, class, CASE WHEN class = 'neg' THEN blob ELSE -blob END + 0 AS place_key FROM cls")
+def class_order(t: Tables) -> DataFrame:
+    """Reviews of an aspect and class from the clearest on: the least polarity first where it is negative."""
+    key = F.when(F.col("class") == "neg", F.col("blob")).otherwise(-F.col("blob")) + 0.0
+    rows = _aspect_reviews(t).select("lemma", "doc_id", "class", key.alias("place_key"))
+    return rows.orderBy("lemma", "class", "place_key", "doc_id")
+
+
 @query("WITH " + ASP + """ SELECT lemma, round(avg((class = 'pos')::INT), 3) * 100 AS pos, round(avg((class = 'mixed')::INT), 3) * 100 AS mixed,
  round(avg((class = 'neg')::INT), 3) * 100 AS neg, round(avg(rating), 6) AS rating FROM cls GROUP BY lemma""")
 def polarity_share(t: Tables) -> DataFrame:

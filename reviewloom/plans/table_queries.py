@@ -67,16 +67,16 @@ def curated_label(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", S.label(F.col("l_quantity"), 25).alias("label"))
 
 
-def _split(t: Tables, name: str) -> DataFrame:
-    return _stat(t, name).groupBy(S.interval_name(F.col(name), S.PRESETS[name]).alias("part")).agg(F.count("*").alias("n"))
+def _split(t: Tables, name: str, presets: dict = S.PRESETS) -> DataFrame:
+    return _stat(t, name).groupBy(S.interval_name(F.col(name), presets[name]).alias("part")).agg(F.count("*").alias("n"))
 
 
-def _split_sql(name: str) -> str:
+def _split_sql(name: str, presets: dict = S.PRESETS) -> str:
     def held(i: S.Interval) -> str:
         low = "true" if i.low is None else f"x {'>=' if i.low_in else '>'} {i.low}"
         return low + (" AND true" if i.high is None else f" AND x {'<=' if i.high_in else '<'} {i.high}")
 
-    parts = " ".join(f"WHEN {held(i)} THEN '{i.name}'" for i in S.PRESETS[name])
+    parts = " ".join(f"WHEN {held(i)} THEN '{i.name}'" for i in presets[name])
     return f"WITH {STATS}, x AS (SELECT round({name}, 6) AS x FROM t) SELECT CASE {parts} END AS part, count(*) AS n FROM x GROUP BY ALL"
 
 
@@ -95,6 +95,16 @@ def interval_split_kurtosis(t: Tables) -> DataFrame:
     return _split(t, "kurtosis")
 
 
+@query(_split_sql("variance", S.COARSE_PRESETS))
+def interval_split_variance_coarse(t: Tables) -> DataFrame:
+    return _split(t, "variance", S.COARSE_PRESETS)
+
+
+@query(_split_sql("kurtosis", S.COARSE_PRESETS))
+def interval_split_kurtosis_coarse(t: Tables) -> DataFrame:
+    return _split(t, "kurtosis", S.COARSE_PRESETS)
+
+
 @query(_split_sql("range"))
 def interval_split_range(t: Tables) -> DataFrame:
     return _split(t, "range")

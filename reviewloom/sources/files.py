@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.places import placed
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, keep_empty: bool = False) -> DataFrame:
@@ -46,7 +46,7 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
     """(word, value, rank) from lines `word: value`, in the order of value and word."""
     parts = F.split("value", ":\\s*")
     df = spark.read.text(path).filter(F.contains("value", F.lit(":"))).select(strip(F.get(parts, 0)).alias("word"), F.get(parts, 1).try_cast("double").alias("value"))
-    return df.selectExpr("word", "value", "row_number() over (order by value desc, word) as rank")
+    return placed(df, [F.col("value").isNull(), -F.col("value"), F.col("word")], name="rank")
 
 
 def write_ranking(df: DataFrame, path: str, word: str = "term", value: str = "score") -> None:
@@ -69,18 +69,14 @@ def write_csv_by(df: DataFrame, path: str, *groups: str) -> None:
 
 
 def write_csv_indexed(df: DataFrame, path: str, order: list[str], index: str = "index") -> None:
-    """CSV with a column of places from 0 in the given order: ranges are sorted side by side, and each is numbered
-    from the sum of the counts before it."""
+    """CSV with a column of places from 0 in the given order."""
     write_csv(with_index(df, order, index), path)
 
 
 def with_index(df: DataFrame, order: list[str], index: str = "index") -> DataFrame:
     """df with the place of each row, from 0, in the given order."""
-    part, own = "_part", "_own"
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(own, F.monotonically_increasing_id() % (1 << 33))
-    counts = placed.groupBy(part).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return placed.join(F.broadcast(counts.select(part, before.alias("_before"))), part).select((F.col("_before") + F.col(own)).alias(index), *df.columns)
+    columns = [F.col(c) for c in order]
+    return placed(df, columns, name=index).select((F.col(index) - 1).alias(index), *df.columns)
 
 
 def write_json(df: DataFrame, path: str) -> None:

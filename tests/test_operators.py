@@ -92,3 +92,20 @@ def test_status_stream(spark, tmp_path):
     spark.createDataFrame([("u", "fail", 2, 3), ("v", "fail", 2, 4)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b")
     status_stream(stream(), f"{tmp_path}/t", f"{tmp_path}/cp").awaitTermination()
     assert {r.url: r.status for r in read_status(spark, f"{tmp_path}/t", 1).collect()} == {"u": "succ", "v": "fail"}
+
+
+def test_places_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from reviewloom.operators.places import placed
+
+    df = spark.range(20000, numPartitions=7).select((F.col("id") * 7919 % 20011).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("g"))
+    rows = placed(df, [-F.col("v")], ["g"]).collect()
+    assert len(rows) == 20000
+    for g in (None, 0, 1, 2):
+        own = sorted((r["place"], r["v"]) for r in rows if r["g"] == g)
+        assert [p for p, _ in own] == list(range(1, len(own) + 1))
+        assert [v for _, v in own] == sorted((v for _, v in own), reverse=True)
+    assert placed(df.filter("v < 0"), [F.col("v")]).collect() == []
+    few = spark.createDataFrame([(3.0, "c"), (None, "a"), (1.0, "b")], "x double, w string")
+    assert [(r.w, r["n"]) for r in placed(few, [F.col("x")], name="n").orderBy("n").collect()] == [("a", 1), ("b", 2), ("c", 3)]
