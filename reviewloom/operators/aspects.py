@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .annotate import NOUNS
@@ -46,12 +47,14 @@ def unigrams(tokens: DataFrame, min_pct: float = 0.001, a_pct: float = 0.0, amon
 
 def noun_neighbours(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, w1, w2, forward): each noun with each neighbour; w1 < w2, forward where w1 stands first."""
-    sides = [
-        tokens.select("doc_id", "sent_idx", (F.col("tok_idx") + d).alias("tok_idx"), F.col("lemma").alias("other"), F.col("tag").alias("other_tag"), F.lit(d > 0).alias("before"))
-        for d in (1, -1)
-    ]
-    near = sides[0].unionByName(sides[1])
-    pairs = tokens.filter(F.col("tag").isin(*NOUNS)).join(near, ["doc_id", "sent_idx", "tok_idx"]).filter(~F.col("other_tag").isin(*COMMON_TAGS) & (F.col("lemma") != F.col("other")))
+    sentence = W.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")
+    word = F.struct("tok_idx", F.col("lemma").alias("other"), F.col("tag").alias("other_tag"))
+    near = tokens.withColumn("_near", F.array(F.lag(word).over(sentence), F.lead(word).over(sentence))).filter(F.col("tag").isin(*NOUNS))
+    sides = near.select("doc_id", "sent_idx", "lemma", F.col("tok_idx").alias("_at"), F.explode(F.array_compact("_near")).alias("_n"))
+    pairs = (
+        sides.select("doc_id", "sent_idx", "lemma", "_n.other", "_n.other_tag", (F.col("_n.tok_idx") < F.col("_at")).alias("before"), (F.col("_n.tok_idx") - F.col("_at")).alias("_step"))
+        .filter(F.col("_step").isin(-1, 1) & ~F.col("other_tag").isin(*COMMON_TAGS) & (F.col("lemma") != F.col("other")))
+    )
     first = F.when(F.col("before"), F.col("other")).otherwise(F.col("lemma"))
     w1 = F.least("lemma", "other")
     return pairs.select("doc_id", "sent_idx", w1.alias("w1"), F.greatest("lemma", "other").alias("w2"), (first == w1).alias("forward"))
