@@ -10,7 +10,6 @@ from ..functions import parsing as P
 from ..functions import text as T
 from ..operators import records as R
 from ..operators import rowstats as S
-from ..sources.pages import nodes
 from .registry import Tables, query
 
 #: Nine scores of a line, -1 where missing, and the same in SQL.
@@ -299,11 +298,6 @@ def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(P.plain_html(F.col("html"))).alias("text"))
 
 
-@query(None)
-def html_nodes(t: Tables) -> DataFrame:
-    return nodes(t.pages, "p")
-
-
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages""")
 def html_links(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(P.links(F.col("html"))).alias("link"))

@@ -45,6 +45,5 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_html_nodes_and_han(spark):
-    assert QUERIES["html_nodes"](spark, SF).count() > 0
+def test_han(spark):
     assert QUERIES["cjk_tokens"](spark, SF).first()["tokens"][:2] == ["这家", "家店"]
