@@ -70,6 +70,45 @@ def json_repaired(x: Column) -> Column:
     return F.regexp_replace(x, ",\\s*([}\\]])", "$1")
 
 
+#: A script's tokens: texts in quotes, names, numbers, marks.
+_SCRIPT = r'''"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|[A-Za-z_$][\w$]*+|-?[0-9]++(?:\.[0-9]++)?|\|\||[{}\[\]:,()]'''
+
+
+def page_data(x: Column) -> Column:
+    """The object in a page's script, from the first brace to the last, as JSON.
+
+    Names get quotes and texts double ones; what stands after || goes, as do calls of encodeURIComponent (their value
+    stays), brackets, commas before a closing brace and zeros before a number; a name that is no key is null. In texts
+    line ends go, a word in doubled quotes at the beginning loses the inner ones, n\\\\a is n/a, and another backslash
+    between letters or digits is a blank. What stands in a text is never taken for a name or a mark.
+    """
+    body = F.regexp_extract(x, r"(?s)\{.*\}", 0)
+    bare = F.regexp_replace(F.replace(body, F.lit("\n"), F.lit("")), r''':\s*""(\w+)"''', r''': "$1''')
+    tokens = F.regexp_extract_all(bare, F.lit(_SCRIPT), F.lit(0))
+
+    def quoted(t: Column) -> Column:
+        inner = F.regexp_replace(F.substr(t, F.lit(2), F.length(t) - 2), r"\\'", "'")
+        inner = F.when(t.startswith("'"), F.regexp_replace(inner, r'''(?<!\\)"''', r'''\\"''')).otherwise(inner)
+        inner = F.regexp_replace(F.regexp_replace(inner, r"(?i)n\\{2,}a", "n/a"), r"(\w)\\(?=\w)", "$1 ")
+        return F.concat(F.lit('"'), inner, F.lit('"'))
+
+    def shown(z: Column) -> Column:
+        t, before, after = z["t"], z["before"], z["after"]
+        text = t.rlike("^[\"']")
+        gone = (t == "||") | before.eqNullSafe(F.lit("||")) | t.isin("(", ")", "encodeURIComponent") | ((t == ",") & after.isin("}", "]"))
+        name = t.rlike("^[A-Za-z_$]")
+        key = after.eqNullSafe(F.lit(":"))
+        return (
+            F.when(F.coalesce(gone, F.lit(False)), "").when(text, quoted(t)).when(name & key, F.concat(F.lit('"'), t, F.lit('"')))
+            .when(name & ~t.isin("true", "false", "null"), "null").when(t.rlike("^-?0[0-9]"), F.regexp_replace(t, "^(-?)0+(?=[0-9])", "$1")).otherwise(t)
+        )
+
+    # each token with its neighbours, so that tokens are made a few times a row and not once a token
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))))
+    beside = F.arrays_zip(tokens.alias("t"), before.alias("before"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("after"))
+    return F.array_join(F.transform(F.filter(beside, lambda z: z["t"].isNotNull()), shown), "")
+
+
 def plain_html(x: Column) -> Column:
     """Text of a page: tags as blanks, runs of white space as one."""
     return F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), "[ \\t\\n\\r]+", " "))

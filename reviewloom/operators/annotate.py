@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
@@ -35,28 +36,51 @@ def lemma(word: Column, tagged: Column) -> Column:
     return F.when(tagged == "NNS", F.left(word, F.length(word) - 1)).otherwise(word)
 
 
+def _shifted(ts: Column, by: int) -> Column:
+    """The array moved by so many places, nulls before it; the longer array's end counts for nothing."""
+    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("word", "tag", "lemma")])
+    return F.concat(F.array_repeat(empty, by), ts)
+
+
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sent_idx, tok_idx, word, lemma, tag, dep, head_idx), one row a token.
+    """(doc_id, sent_idx, tok_idx, word, lemma, tag, dep, head_idx, head_word, head_lemma, head_tag, subj_idx,
+    subj_lemma, negated, gap), one row a token.
 
-    An adjective before a noun is its amod, one after a copula the copula's acomp; a noun before a copula is its
-    nsubj; a negation belongs to the next word. Other tokens have dep `dep` and no head.
+    An adjective before a noun is its amod; one after a copula, or after a copula and a negation, is the copula's acomp;
+    a noun before a copula is its nsubj; a negation belongs to the next word. Other tokens have dep `dep` and no head.
+    subj is a second governor: the copula's subject, of an acomp that has one. negated: a negation stands just before.
+    gap counts the characters between a token and the one before it, or the sentence's beginning. All are read off a
+    sentence's array, so that no table is joined with itself.
     """
     sents = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(F.lower(text_col))).alias("sent_idx", "sent"))
-    words = sents.select("doc_id", "sent_idx", F.regexp_extract_all("sent", F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)).alias("ws"))
-    tagged = words.select("doc_id", "sent_idx", F.transform("ws", lambda w: F.struct(w.alias("word"), tag(w).alias("tag"))).alias("ts"))
-    before = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("tag"))), "ts")
-    near = tagged.select("doc_id", "sent_idx", F.posexplode(F.arrays_zip(F.col("ts").alias("t"), before.alias("b"), F.slice("ts", F.lit(2), F.size("ts")).alias("n"))).alias("tok_idx", "x"))
-    rows = near.filter("x.t is not null").select(
-        "doc_id", "sent_idx", "tok_idx", F.col("x.t.word").alias("word"), F.col("x.t.tag").alias("tag"), F.col("x.b.tag").alias("tag0"), F.col("x.n.tag").alias("tag1")
-    )
-    t, t0, t1 = F.col("tag"), F.coalesce("tag0", F.lit("")), F.coalesce("tag1", F.lit(""))
+    word = "[\\p{L}\\p{N}_]+"
+    words = sents.select("doc_id", "sent_idx", F.regexp_extract_all("sent", F.lit(word), F.lit(0)).alias("ws"), F.split("sent", word).alias("gaps"))
+    tags = words.select("doc_id", "sent_idx", "gaps", F.transform("ws", lambda w: F.struct(w.alias("word"), tag(w).alias("tag"))).alias("ts"))
+    full = tags.select("doc_id", "sent_idx", "gaps", F.transform("ts", lambda x: F.struct(x["word"].alias("word"), x["tag"].alias("tag"), lemma(x["word"], x["tag"]).alias("lemma"))).alias("ts"))
+    beside = {"t": F.col("ts"), "p1": _shifted(F.col("ts"), 1), "p2": _shifted(F.col("ts"), 2), "p3": _shifted(F.col("ts"), 3), "n1": F.slice("ts", F.lit(2), F.size("ts")), "g": F.transform("gaps", F.length)}
+    near = full.select("doc_id", "sent_idx", F.posexplode(F.arrays_zip(*[x.alias(n) for n, x in beside.items()])).alias("tok_idx", "x")).filter("x.t is not null")
+    at = lambda name, field="tag": F.coalesce(F.col(f"x.{name}.{field}"), F.lit(""))
+    late = (at("p1") == "NEG") & (at("p2") == "VBZ")
     dep = (
-        F.when((t == "NEG") & (t1 != ""), "neg")
-        .when((t == "JJ") & t1.isin(*NOUNS), "amod")
-        .when((t == "JJ") & (t0 == "VBZ"), "acomp")
-        .when(t.isin(*NOUNS) & (t1 == "VBZ"), "nsubj")
+        F.when((at("t") == "NEG") & (at("n1") != ""), "neg")
+        .when((at("t") == "JJ") & at("n1").isin(*NOUNS), "amod")
+        .when((at("t") == "JJ") & ((at("p1") == "VBZ") | late), "acomp")
+        .when(at("t").isin(*NOUNS) & (at("n1") == "VBZ"), "nsubj")
         .otherwise("dep")
     )
-    out = rows.withColumn("dep", dep).withColumn("lemma", lemma(F.col("word"), t))
-    head = F.when(F.col("dep").isin("neg", "amod", "nsubj"), F.col("tok_idx") + 1).when(F.col("dep") == "acomp", F.col("tok_idx") - 1)
-    return out.select("doc_id", "sent_idx", "tok_idx", "word", "lemma", "tag", "dep", head.alias("head_idx"))
+    rows = near.withColumn("dep", dep).withColumn("_late", late)
+    ahead, behind = F.col("dep").isin("neg", "amod", "nsubj"), F.col("dep") == "acomp"
+    head = F.when(ahead, F.col("x.n1")).when(behind & F.col("_late"), F.col("x.p2")).when(behind, F.col("x.p1"))
+    subject = F.when(behind, F.when(F.col("_late"), F.col("x.p3")).otherwise(F.col("x.p2")))
+    place = F.when(ahead, F.col("tok_idx") + 1).when(behind, F.col("tok_idx") - F.when(F.col("_late"), 2).otherwise(1))
+    told = rows.withColumn("_head", head).withColumn("_subject", F.when(subject["tag"].isin(*NOUNS), subject))
+    return told.select(
+        "doc_id", "sent_idx", "tok_idx", "x.t.word", "x.t.lemma", "x.t.tag", "dep", place.alias("head_idx"), F.col("_head.word").alias("head_word"), F.col("_head.lemma").alias("head_lemma"), F.col("_head.tag").alias("head_tag"),
+        F.when(F.col("_subject").isNotNull(), F.col("tok_idx") - F.when(F.col("_late"), 3).otherwise(2)).alias("subj_idx"), F.col("_subject.lemma").alias("subj_lemma"), (at("p1") == "NEG").alias("negated"), F.col("x.g").alias("gap"),
+    )
+
+
+def with_starts(tokens: DataFrame) -> DataFrame:
+    """tokens with start: the characters of the sentence before each token."""
+    before = W.partitionBy("doc_id", "sent_idx").orderBy("tok_idx").rowsBetween(W.unboundedPreceding, -1)
+    return tokens.withColumn("start", (F.coalesce(F.sum(F.col("gap") + F.length("word")).over(before), F.lit(0)) + F.col("gap")).cast("int"))

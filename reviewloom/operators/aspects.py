@@ -20,6 +20,16 @@ def sentence_count(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "sent_idx").distinct().agg(F.count("*").alias("n_sent"))
 
 
+def governed(tokens: DataFrame) -> DataFrame:
+    """(lemma, child, doc_id, word, tag, negated): each noun's dependents. An adjective after a copula depends on the copula
+    and also on the copula's subject: "the room is spacious" counts for room."""
+    governors = F.array(
+        F.when(F.col("head_tag").isin(*NOUNS), F.col("head_lemma")),
+        F.when(F.col("dep") == "acomp", F.col("subj_lemma")),
+    )
+    return tokens.filter(F.col("head_tag").isin(*NOUNS) | F.col("subj_lemma").isNotNull()).select(F.explode(F.array_compact(governors)).alias("lemma"), F.col("dep").alias("child"), "doc_id", "word", "tag", "negated")
+
+
 def unigrams(tokens: DataFrame, min_pct: float = 0.001, a_pct: float = 0.0, among: DataFrame | None = None) -> DataFrame:
     """(lemma, n_occ, n_sents, n_reviews, a_share): nouns in at least min_pct of all sentences, of whose dependents at
     least a_pct are adjectives; a noun without dependents stays, with a null share. Only those of among (lemma) count,
@@ -30,12 +40,7 @@ def unigrams(tokens: DataFrame, min_pct: float = 0.001, a_pct: float = 0.0, amon
     per_sentence = nouns.groupBy("lemma", "doc_id", "sent_idx").agg(F.count("*").alias("occ"))
     per_review = per_sentence.groupBy("lemma", "doc_id").agg(F.count("*").alias("sents"), F.sum("occ").alias("occ"))
     support = per_review.groupBy("lemma").agg(F.sum("occ").alias("n_occ"), F.sum("sents").alias("n_sents"), F.count("*").alias("n_reviews"))
-    dependents = tokens.filter("head_idx is not null").select("doc_id", "sent_idx", F.col("head_idx").alias("tok_idx"), F.col("dep").alias("child"))
-    shares = (
-        nouns.join(dependents, ["doc_id", "sent_idx", "tok_idx"])
-        .groupBy("lemma")
-        .agg(F.avg(F.col("child").isin("amod", "acomp").cast("double")).alias("a_share"))
-    )
+    shares = governed(tokens).groupBy("lemma").agg(F.avg(F.col("child").isin("amod", "acomp").cast("double")).alias("a_share"))
     return (
         support.join(F.broadcast(sentence_count(tokens)))
         .filter(F.col("n_sents") >= min_pct * F.col("n_sent"))
@@ -45,75 +50,90 @@ def unigrams(tokens: DataFrame, min_pct: float = 0.001, a_pct: float = 0.0, amon
     )
 
 
-def noun_neighbours(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, w1, w2, forward): each noun with each neighbour; w1 < w2, forward where w1 stands first."""
+def noun_neighbours(tokens: DataFrame, reach: int = 1) -> DataFrame:
+    """(doc_id, sent_idx, w1, w2, forward, noun_idx, distance): each noun with each neighbour up to reach places away;
+    w1 < w2, forward where w1 stands first."""
     sentence = W.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")
     word = F.struct("tok_idx", F.col("lemma").alias("other"), F.col("tag").alias("other_tag"))
-    near = tokens.withColumn("_near", F.array(F.lag(word).over(sentence), F.lead(word).over(sentence))).filter(F.col("tag").isin(*NOUNS))
-    sides = near.select("doc_id", "sent_idx", "lemma", F.col("tok_idx").alias("_at"), F.explode(F.array_compact("_near")).alias("_n"))
-    pairs = (
-        sides.select("doc_id", "sent_idx", "lemma", "_n.other", "_n.other_tag", (F.col("_n.tok_idx") < F.col("_at")).alias("before"), (F.col("_n.tok_idx") - F.col("_at")).alias("_step"))
-        .filter(F.col("_step").isin(-1, 1) & ~F.col("other_tag").isin(*COMMON_TAGS) & (F.col("lemma") != F.col("other")))
-    )
-    first = F.when(F.col("before"), F.col("other")).otherwise(F.col("lemma"))
+    beside = [f(word, i).over(sentence) for i in range(1, reach + 1) for f in (F.lag, F.lead)]
+    near = tokens.withColumn("_near", F.array(*beside)).filter(F.col("tag").isin(*NOUNS))
+    sides = near.select("doc_id", "sent_idx", "lemma", F.col("tok_idx").alias("noun_idx"), F.explode(F.array_compact("_near")).alias("_n"))
+    step = F.col("_n.tok_idx") - F.col("noun_idx")
+    pairs = sides.select("doc_id", "sent_idx", "lemma", "noun_idx", "_n.other", "_n.other_tag", step.alias("_step")).filter(
+        F.abs("_step").between(1, reach) & ~F.col("other_tag").isin(*COMMON_TAGS) & (F.col("lemma") != F.col("other"))
+    )
+    first = F.when(F.col("_step") < 0, F.col("other")).otherwise(F.col("lemma"))
     w1 = F.least("lemma", "other")
-    return pairs.select("doc_id", "sent_idx", w1.alias("w1"), F.greatest("lemma", "other").alias("w2"), (first == w1).alias("forward"))
+    return pairs.select("doc_id", "sent_idx", w1.alias("w1"), F.greatest("lemma", "other").alias("w2"), (first == w1).alias("forward"), "noun_idx", F.abs("_step").alias("distance"))
 
 
-def bigrams(tokens: DataFrame, min_sents: int = 2, min_score: float = 0.0, among: DataFrame | None = None) -> DataFrame:
-    """(w1, w2, n_sents, n_votes, score): pairs in at least min_sents sentences, oriented by the votes of their
-    occurrences; score is sentences over the product of the lemmas' counts. Both words are of among (lemma), if it is
-    given."""
-    near = noun_neighbours(tokens)
+def bigrams(
+    tokens: DataFrame, min_sents: int = 2, min_score: float = 0.0, among: DataFrame | None = None, near: DataFrame | None = None, max_avg_distance: float = 2.0
+) -> DataFrame:
+    """(w1, w2, n_sents, n_votes, avg_distance, score): pairs in at least min_sents sentences, on average less than
+    max_avg_distance places apart, oriented by the votes of their occurrences; score is sentences over the product of
+    the lemmas' counts. Both words are of among (lemma), if it is given. near are the tokens' neighbours, where they are
+    at hand."""
+    near = noun_neighbours(tokens) if near is None else near
     for w in ("w1", "w2") if among is not None else ():
         near = near.join(among.select(F.col("lemma").alias(w)), w, "left_semi")
-    per = near.groupBy("w1", "w2", "doc_id", "sent_idx").agg(F.count("*").alias("votes"), F.sum(F.col("forward").cast("int")).alias("fwd"))
-    pair = per.groupBy("w1", "w2").agg(F.count("*").alias("n_sents"), F.sum("votes").alias("n_votes"), F.sum("fwd").alias("fwd"))
+    per = near.groupBy("w1", "w2", "doc_id", "sent_idx").agg(F.count("*").alias("votes"), F.sum(F.col("forward").cast("int")).alias("fwd"), F.sum("distance").alias("far"))
+    pair = per.groupBy("w1", "w2").agg(F.count("*").alias("n_sents"), F.sum("votes").alias("n_votes"), F.sum("fwd").alias("fwd"), F.sum("far").alias("far"))
+    apart = F.round(F.col("far") / F.col("n_votes"), 2)
     counts = lemma_counts(tokens)
     scored = (
-        pair.filter(F.col("n_sents") >= min_sents)
+        pair.withColumn("avg_distance", apart)
+        .filter((F.col("n_sents") >= min_sents) & (F.col("avg_distance") < max_avg_distance))
         .join(counts.select(F.col("lemma").alias("w1"), F.col("cnt").alias("c1")), "w1")
         .join(counts.select(F.col("lemma").alias("w2"), F.col("cnt").alias("c2")), "w2")
         .withColumn("score", F.col("n_sents") / (F.col("c1") * F.col("c2")))
         .filter(F.col("score") >= min_score)
     )
     back = (F.col("n_votes") - F.col("fwd")) > F.col("fwd")
-    return scored.select(F.when(back, F.col("w2")).otherwise(F.col("w1")).alias("w1"), F.when(back, F.col("w1")).otherwise(F.col("w2")).alias("w2"), "n_sents", "n_votes", "score")
+    named = (F.when(back, F.col("w2")).otherwise(F.col("w1")).alias("w1"), F.when(back, F.col("w1")).otherwise(F.col("w2")).alias("w2"))
+    return scored.select(*named, "n_sents", "n_votes", "avg_distance", "score")
 
 
-def trigrams(tokens: DataFrame, found: DataFrame, min_overlap: float = 0.09) -> DataFrame:
-    """(w1, w2, w3, n_reviews): bigrams chained by a word, whose reviews overlap in at least min_overlap of the fewer."""
-    near = noun_neighbours(tokens).select("w1", "w2", "doc_id").distinct()
+def bigram_places(found: DataFrame, near: DataFrame) -> DataFrame:
+    """(w1, w2, doc_id, sent_idx, tok_idx): the sentences of each bigram found, with the place of its first noun there."""
     keyed = found.select("w1", "w2", F.least("w1", "w2").alias("k1"), F.greatest("w1", "w2").alias("k2"))
-    reviews = keyed.join(near.select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "doc_id"), ["k1", "k2"]).select("w1", "w2", "doc_id")
+    first = near.groupBy(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "doc_id", "sent_idx").agg(F.min("noun_idx").alias("tok_idx"))
+    return keyed.join(first, ["k1", "k2"]).select("w1", "w2", "doc_id", "sent_idx", "tok_idx")
+
+
+def _follower(places: DataFrame) -> DataFrame:
+    """The same places under the names of a second bigram, which begins with the first one's last word."""
+    return places.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), "doc_id", "sent_idx")
+
+
+def trigrams(places: DataFrame, min_overlap: float = 0.09) -> DataFrame:
+    """(w1, w2, w3, n_common): bigrams chained by a word, both of which min_overlap of the reviews of the rarer one hold;
+    places are the bigrams' (bigram_places), n_common the reviews that hold both."""
+    reviews = places.select("w1", "w2", "doc_id").distinct()
     sizes = reviews.groupBy("w1", "w2").agg(F.count("*").alias("n"))
-    a = reviews.select(F.col("w1").alias("w1"), F.col("w2").alias("w2"), "doc_id")
-    b = reviews.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), "doc_id")
-    chained = a.join(b, ["w2", "doc_id"]).filter("w1 <> w3").groupBy("w1", "w2", "w3").agg(F.count("*").alias("n_reviews"))
+    later = reviews.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), "doc_id")
+    chained = reviews.join(later, ["w2", "doc_id"]).groupBy("w1", "w2", "w3").agg(F.count("*").alias("n_common"))
     return (
         chained.join(sizes.withColumnRenamed("n", "na"), ["w1", "w2"])
         .join(sizes.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("n").alias("nb")), ["w2", "w3"])
-        .filter(F.col("n_reviews") / F.least("na", "nb") >= min_overlap)
-        .select("w1", "w2", "w3", "n_reviews")
+        .filter(F.col("n_common") / F.least("na", "nb") >= min_overlap)
+        .select("w1", "w2", "w3", "n_common")
     )
 
 
-def occurrences(tokens: DataFrame, found: DataFrame, chained: DataFrame) -> DataFrame:
-    """(lemma, doc_id, sent_idx): the sentences of each aspect, its words joined by blanks: nouns, the bigrams found, and
-    trigrams, which stand in the sentences of their two bigrams in the reviews that hold both."""
-    nouns = tokens.filter(F.col("tag").isin(*NOUNS)).select("lemma", "doc_id", "sent_idx").distinct()
-    near = noun_neighbours(tokens).select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "doc_id", "sent_idx").distinct()
-    keyed = found.select("w1", "w2", F.least("w1", "w2").alias("k1"), F.greatest("w1", "w2").alias("k2"))
-    two = keyed.join(near, ["k1", "k2"]).select("w1", "w2", "doc_id", "sent_idx")
-    later = two.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), "doc_id", "sent_idx")
-    both = (
-        chained.select("w1", "w2", "w3")
-        .join(two.select("w1", "w2", "doc_id").distinct(), ["w1", "w2"])
-        .join(later.select("w2", "w3", "doc_id").distinct(), ["w2", "w3", "doc_id"])
-    )
-    sides = both.join(two, ["w1", "w2", "doc_id"]).unionByName(both.join(later, ["w2", "w3", "doc_id"]))
-    named = lambda df, *words: df.select(F.concat_ws(" ", *words).alias("lemma"), "doc_id", "sent_idx")
-    return nouns.unionByName(named(two, "w1", "w2")).unionByName(named(sides, "w1", "w2", "w3").distinct())
+def trigram_places(chained: DataFrame, places: DataFrame) -> DataFrame:
+    """(w1, w2, w3, doc_id, sent_idx, tok_idx): the sentences of a trigram's first bigram that are also its second's, with
+    the first one's place. A trigram can have none."""
+    both = places.join(_follower(places), ["w2", "doc_id", "sent_idx"])
+    return both.join(chained.select("w1", "w2", "w3"), ["w1", "w2", "w3"], "left_semi").select("w1", "w2", "w3", "doc_id", "sent_idx", "tok_idx")
+
+
+def occurrences(tokens: DataFrame, places: DataFrame, of_trigrams: DataFrame) -> DataFrame:
+    """(lemma, doc_id, sent_idx, tok_idx): the sentences of each aspect, its words joined by blanks, and the first place
+    there: nouns, bigrams and trigrams."""
+    nouns = tokens.filter(F.col("tag").isin(*NOUNS)).groupBy("lemma", "doc_id", "sent_idx").agg(F.min("tok_idx").alias("tok_idx"))
+    named = lambda df, *words: df.select(F.concat_ws(" ", *words).alias("lemma"), "doc_id", "sent_idx", "tok_idx")
+    return nouns.unionByName(named(places, "w1", "w2")).unionByName(named(of_trigrams, "w1", "w2", "w3"))
 
 
 def rare(tokens: DataFrame, most_log_share: float = -7.5, excluded: DataFrame | None = None) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import vector_tokens
+from .shared import written
+
+#: Rows of a table of terms that is broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,13 +37,27 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, term, w): tf * (ln((1+n)/(1+df)) + 1), each document's weights of unit length."""
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", without: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, w): tf * (ln((1+n)/(1+df)) + 1), each document's weights of unit length.
+
+    n and df are of all documents; terms in `without` count for nothing; weights are those of the documents in `only`
+    (doc_id), if it is given. id_col is each document's own. Document frequencies are made first, as a table, and
+    broadcast if it has few enough rows; documents are then dealt out by id once, so that a document's counts and its
+    length need no more exchange.
+    """
+    own = docs.select(F.col(id_col).alias("doc_id"), vector_tokens(F.col(text_col)).alias("terms"))
+    if without:
+        own = own.withColumn("terms", F.filter("terms", lambda t: ~t.isin(list(without))))
     n = docs.agg(F.count("*").alias("n"))
-    idf = document_frequency(counts).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("v") / F.col("norm")).alias("w"))
+    df = own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    table = written(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    if only is not None:
+        own = own.join(only.select("doc_id"), "doc_id", "left_semi")
+    counts = own.repartition("doc_id").select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    few = table.count() <= BROADCAST_ROWS
+    raw = counts.join(F.broadcast(table) if few else table, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("v") / length).alias("w"))
 
 
 def without_terms(counts: DataFrame, words: list[str]) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
+from ..functions.text import letter_tokens, sentences, snippet
 from ..operators import annotate as A
 from ..operators import aspects as G
 from ..operators import features as X
 from ..operators import sentiment as L
+from ..operators.containment import contained
+from ..operators.shared import written
 from .registry import Tables, query
-from .text_queries import W_, weights
+from .text_queries import TOK, W_, weights
 
 _CASE = " ".join(f"WHEN word IN ({', '.join(repr(w) for w in ws)}) THEN '{t}'" for t, ws in A.CLOSED.items())
 _CASE += " " + " ".join(f"WHEN length(word) > {len(e) + 1} AND ends_with(word, '{e}') THEN '{t}'" for e, t in A.ENDINGS)
@@ -19,29 +21,39 @@ _CASE += " " + " ".join(f"WHEN length(word) > {len(e) + 1} AND ends_with(word, '
 SENT = r"""pieces AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '([.!?])[ \n\t]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents),
  kept AS (SELECT doc_id, list_filter(list_transform(ss, lambda s: regexp_replace(regexp_replace(s, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')), lambda s: s <> '') AS ss FROM pieces),
  sents AS (SELECT doc_id, i - 1 AS sent_idx, ss[i] AS sent FROM kept, unnest(range(1, len(ss) + 1)) AS u(i))"""
-ANN = SENT + r""", ws AS (SELECT doc_id, sent_idx, regexp_extract_all(sent, '[\p{L}\p{N}_]+') AS ws FROM sents),
- words AS (SELECT doc_id, sent_idx, j - 1 AS tok_idx, ws[j] AS word FROM ws, unnest(range(1, len(ws) + 1)) AS u(j)),
+ANN = SENT + r""", ws AS (SELECT doc_id, sent_idx, regexp_extract_all(sent, '[\p{L}\p{N}_]+') AS ws, string_split_regex(sent, '[\p{L}\p{N}_]+') AS gs FROM sents),
+ words AS (SELECT doc_id, sent_idx, j - 1 AS tok_idx, ws[j] AS word, length(gs[j]) AS gap FROM ws, unnest(range(1, len(ws) + 1)) AS u(j)),
  tagged AS (SELECT *, CASE """ + _CASE + """ ELSE 'NN' END AS tag FROM words),
- near AS (SELECT *, coalesce(lag(tag) OVER s, '') AS tag0, coalesce(lead(tag) OVER s, '') AS tag1 FROM tagged WINDOW s AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx)),
+ near AS (SELECT *, coalesce(lag(tag) OVER s, '') AS tag0, coalesce(lag(tag, 2) OVER s, '') AS tag00, coalesce(lead(tag) OVER s, '') AS tag1,
+   sum(gap + length(word)) OVER s - length(word) AS start FROM tagged WINDOW s AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx)),
  deps AS (SELECT *, CASE WHEN tag = 'NEG' AND tag1 <> '' THEN 'neg' WHEN tag = 'JJ' AND tag1 IN ('NN', 'NNS') THEN 'amod'
-   WHEN tag = 'JJ' AND tag0 = 'VBZ' THEN 'acomp' WHEN tag IN ('NN', 'NNS') AND tag1 = 'VBZ' THEN 'nsubj' ELSE 'dep' END AS dep,
+   WHEN tag = 'JJ' AND (tag0 = 'VBZ' OR tag0 = 'NEG' AND tag00 = 'VBZ') THEN 'acomp' WHEN tag IN ('NN', 'NNS') AND tag1 = 'VBZ' THEN 'nsubj' ELSE 'dep' END AS dep,
    CASE WHEN tag = 'NNS' THEN left(word, length(word) - 1) ELSE word END AS lemma FROM near),
- tokens AS MATERIALIZED (SELECT doc_id, sent_idx::INT AS sent_idx, tok_idx::INT AS tok_idx, word, lemma, tag, dep,
-   CASE WHEN dep IN ('neg', 'amod', 'nsubj') THEN tok_idx + 1 WHEN dep = 'acomp' THEN tok_idx - 1 END::INT AS head_idx FROM deps)"""
+ tokens AS MATERIALIZED (SELECT doc_id, sent_idx::INT AS sent_idx, tok_idx::INT AS tok_idx, word, lemma, tag, dep, start::INT AS start,
+   CASE WHEN dep IN ('neg', 'amod', 'nsubj') THEN tok_idx + 1 WHEN dep = 'acomp' AND tag0 = 'NEG' THEN tok_idx - 2 WHEN dep = 'acomp' THEN tok_idx - 1 END::INT AS head_idx FROM deps)"""
+#: Dependents of nouns: by their head, and a complement of a copula also by the copula's subject.
+GOV = ANN + """, gov AS (SELECT h.lemma, c.dep AS child, c.doc_id, c.sent_idx, c.tok_idx, c.word, c.tag FROM tokens c JOIN tokens h ON c.doc_id = h.doc_id AND c.sent_idx = h.sent_idx AND c.head_idx = h.tok_idx
+   WHERE h.tag IN ('NN', 'NNS')
+  UNION ALL SELECT n.lemma, c.dep, c.doc_id, c.sent_idx, c.tok_idx, c.word, c.tag FROM tokens c JOIN tokens n ON c.doc_id = n.doc_id AND c.sent_idx = n.sent_idx AND c.head_idx = n.head_idx
+   WHERE c.dep = 'acomp' AND n.dep = 'nsubj')"""
 _COMMON = ", ".join(repr(x) for x in G.COMMON_TAGS)
 PAIRS = ANN + f""", side AS (SELECT doc_id, sent_idx, tok_idx + 1 AS tok_idx, lemma AS other, tag AS other_tag, true AS before FROM tokens
    UNION ALL SELECT doc_id, sent_idx, tok_idx - 1, lemma, tag, false FROM tokens),
- pairs AS MATERIALIZED (SELECT doc_id, sent_idx, least(lemma, other) AS w1, greatest(lemma, other) AS w2,
+ pairs AS MATERIALIZED (SELECT doc_id, sent_idx, tok_idx AS noun_idx, least(lemma, other) AS w1, greatest(lemma, other) AS w2,
    (CASE WHEN before THEN other ELSE lemma END) = least(lemma, other) AS forward
    FROM tokens JOIN side USING (doc_id, sent_idx, tok_idx) WHERE tag IN ('NN', 'NNS') AND other_tag NOT IN ({_COMMON}) AND lemma <> other)"""
 BI = PAIRS + """, cnt AS (SELECT lemma, count(*) AS c FROM tokens GROUP BY lemma),
  bi0 AS (SELECT w1, w2, count(DISTINCT (doc_id, sent_idx)) AS n_sents, count(*) AS n_votes, sum(forward::INT) AS fwd FROM pairs GROUP BY ALL),
  bi AS MATERIALIZED (SELECT CASE WHEN n_votes - fwd > fwd THEN bi0.w2 ELSE bi0.w1 END AS w1, CASE WHEN n_votes - fwd > fwd THEN bi0.w1 ELSE bi0.w2 END AS w2,
    n_sents, n_votes, n_sents / (a.c * b.c) AS score FROM bi0 JOIN cnt a ON a.lemma = bi0.w1 JOIN cnt b ON b.lemma = bi0.w2 WHERE n_sents >= {least})"""
-TRI = BI.replace("{least}", "3") + """, rev AS (SELECT DISTINCT bi.w1, bi.w2, doc_id FROM bi JOIN pairs p ON p.w1 = least(bi.w1, bi.w2) AND p.w2 = greatest(bi.w1, bi.w2)),
- sz AS (SELECT w1, w2, count(*) AS n FROM rev GROUP BY ALL),
- tri0 AS (SELECT a.w1, a.w2, b.w2 AS w3, count(*) AS n_reviews FROM rev a JOIN rev b ON a.w2 = b.w1 AND a.doc_id = b.doc_id WHERE a.w1 <> b.w2 GROUP BY ALL),
- tri AS (SELECT t.* FROM tri0 t JOIN sz x ON x.w1 = t.w1 AND x.w2 = t.w2 JOIN sz y ON y.w1 = t.w2 AND y.w2 = t.w3 WHERE n_reviews / least(x.n, y.n) >= 0.09)"""
+#: Trigrams stand in those sentences of their first bigram that are also their second's, at the first one's place.
+TRI = BI.replace("{least}", "3") + """, bs AS MATERIALIZED (SELECT bi.w1, bi.w2, p.doc_id, p.sent_idx, min(p.noun_idx) AS tok_idx
+   FROM bi JOIN pairs p ON p.w1 = least(bi.w1, bi.w2) AND p.w2 = greatest(bi.w1, bi.w2) GROUP BY ALL),
+ rev AS (SELECT DISTINCT w1, w2, doc_id FROM bs), sz AS (SELECT w1, w2, count(*) AS n FROM rev GROUP BY ALL),
+ tri0 AS (SELECT a.w1, a.w2, b.w2 AS w3, count(*) AS n_common FROM rev a JOIN rev b ON a.w2 = b.w1 AND a.doc_id = b.doc_id GROUP BY ALL),
+ tri AS MATERIALIZED (SELECT t.* FROM tri0 t JOIN sz x ON x.w1 = t.w1 AND x.w2 = t.w2 JOIN sz y ON y.w1 = t.w2 AND y.w2 = t.w3 WHERE n_common / least(x.n, y.n) >= 0.09),
+ ts AS MATERIALIZED (SELECT tri.w1, tri.w2, tri.w3, a.doc_id, a.sent_idx, a.tok_idx FROM tri JOIN bs a ON a.w1 = tri.w1 AND a.w2 = tri.w2
+   WHERE EXISTS (SELECT 1 FROM bs b WHERE b.w1 = tri.w2 AND b.w2 = tri.w3 AND b.doc_id = a.doc_id AND b.sent_idx = a.sent_idx))"""
 LEX = """ lex0 AS (SELECT token, ('0x' || substr(md5(token), 3, 2))::INT / 256 AS pos, ('0x' || substr(md5(token), 5, 2))::INT / 256 AS neg
    FROM (SELECT DISTINCT word AS token FROM vocab) WHERE ('0x' || substr(md5(token), 1, 2))::INT % 2 = 1),
  lex1 AS (SELECT *, greatest(1 - pos - neg, 0) AS obj FROM lex0),
@@ -52,12 +64,9 @@ _POL = """, sp AS (SELECT doc_id, sent_idx, sum(coalesce(pos, 0)) AS p, sum(coal
    FROM tokens LEFT JOIN lex ON word = token GROUP BY ALL),
  pol AS (SELECT doc_id, sent_idx, (CASE WHEN flip THEN -1 ELSE 1 END) * CASE WHEN abs(p - n) / c >= 0.1 THEN CASE WHEN p > n THEN p ELSE -n END ELSE 0 END AS polarity FROM sp)"""
 POL = TLEX + _POL
-OCC = TRI + """, bs AS MATERIALIZED (SELECT DISTINCT bi.w1, bi.w2, p.doc_id, p.sent_idx FROM bi JOIN pairs p ON p.w1 = least(bi.w1, bi.w2) AND p.w2 = greatest(bi.w1, bi.w2)),
- td AS MATERIALIZED (SELECT DISTINCT t.w1, t.w2, t.w3, a.doc_id FROM tri t JOIN bs a ON a.w1 = t.w1 AND a.w2 = t.w2 JOIN bs b ON b.w1 = t.w2 AND b.w2 = t.w3 AND b.doc_id = a.doc_id),
- occ AS MATERIALIZED (SELECT lemma, doc_id, sent_idx FROM tokens WHERE tag IN ('NN', 'NNS')
-  UNION SELECT w1 || ' ' || w2, doc_id, sent_idx FROM bs
-  UNION SELECT td.w1 || ' ' || td.w2 || ' ' || td.w3, doc_id, sent_idx FROM td JOIN bs USING (w1, w2, doc_id)
-  UNION SELECT td.w1 || ' ' || td.w2 || ' ' || td.w3, td.doc_id, sent_idx FROM td JOIN bs ON bs.w1 = td.w2 AND bs.w2 = td.w3 AND bs.doc_id = td.doc_id),
+OCC = TRI + """, occ AS MATERIALIZED (SELECT lemma, doc_id, sent_idx, min(tok_idx) AS tok_idx FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY ALL
+  UNION ALL SELECT w1 || ' ' || w2, doc_id, sent_idx, tok_idx FROM bs
+  UNION ALL SELECT w1 || ' ' || w2 || ' ' || w3, doc_id, sent_idx, tok_idx FROM ts),
  top AS (SELECT lemma, count(DISTINCT doc_id) AS n_reviews FROM occ GROUP BY lemma)"""
 ASP = OCC + ", vocab AS (SELECT DISTINCT word FROM tokens)," + LEX + _POL + """,
  ls AS (SELECT doc_id, sent_idx, sum(s) AS lx FROM tokens JOIN lex ON word = token GROUP BY ALL),
@@ -71,6 +80,28 @@ def tokens(t: Tables) -> DataFrame:
     return A.token_table(t.documents)
 
 
+def annotated(t: Tables) -> DataFrame:
+    """The token table, written once for what reads it several times."""
+    return written(A.with_starts(tokens(t)), "tokens")
+
+
+class Mined:
+    """Tokens, neighbours, bigrams, trigrams and their places, each derived once."""
+
+    def __init__(self, t: Tables):
+        self.tokens = annotated(t)
+        self.near = written(G.noun_neighbours(self.tokens), "neighbours")
+        self.bigrams = written(G.bigrams(self.tokens, 3, near=self.near), "bigrams")
+        self.places = written(G.bigram_places(self.bigrams, self.near), "bigram-places")
+        self.trigrams = written(G.trigrams(self.places, 0.09), "trigrams")
+
+    def trigram_places(self) -> DataFrame:
+        return G.trigram_places(self.trigrams, self.places)
+
+    def occurrences(self) -> DataFrame:
+        return G.occurrences(self.tokens, self.places, self.trigram_places())
+
+
 def lexicon(words: DataFrame, col: str) -> DataFrame:
     return L.hash_lexicon(words.select(F.col(col).alias("term")).distinct())
 
@@ -98,9 +129,13 @@ def first_occurrence(t: Tables) -> DataFrame:
 
 @query("WITH " + ANN + " SELECT t.doc_id, t.sent_idx, t.tok_idx, t.dep, h.word AS head FROM tokens t JOIN tokens h ON t.doc_id = h.doc_id AND t.sent_idx = h.sent_idx AND t.head_idx = h.tok_idx")
 def head_join(t: Tables) -> DataFrame:
-    a = tokens(t)
-    heads = a.select("doc_id", "sent_idx", F.col("tok_idx").alias("head_idx"), F.col("word").alias("head"))
-    return a.select("doc_id", "sent_idx", "tok_idx", "dep", "head_idx").join(heads, ["doc_id", "sent_idx", "head_idx"]).drop("head_idx")
+    return tokens(t).filter("head_idx is not null").select("doc_id", "sent_idx", "tok_idx", "dep", F.col("head_word").alias("head"))
+
+
+@query("WITH " + GOV + " SELECT lemma, child, count(*) AS n FROM gov GROUP BY ALL")
+def governed_children(t: Tables) -> DataFrame:
+    """How often each noun has a dependent of each kind; an adjective after a copula is the subject's too."""
+    return G.governed(tokens(t)).groupBy("lemma", "child").agg(F.count("*").alias("n"))
 
 
 @query("WITH " + PAIRS + " SELECT w1, w2, count(*) AS n FROM pairs GROUP BY ALL")
@@ -108,45 +143,59 @@ def neighbor_pairs(t: Tables) -> DataFrame:
     return G.noun_neighbours(tokens(t)).groupBy("w1", "w2").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + ANN + """, occ AS (SELECT lemma, count(*) AS n_occ, count(DISTINCT (doc_id, sent_idx)) AS n_sents, count(DISTINCT doc_id) AS n_reviews FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY lemma),
- sh AS (SELECT h.lemma, avg((t.dep IN ('amod', 'acomp'))::INT) AS a_share FROM tokens t JOIN tokens h ON t.doc_id = h.doc_id AND t.sent_idx = h.sent_idx AND t.head_idx = h.tok_idx WHERE h.tag IN ('NN', 'NNS') GROUP BY h.lemma)
+@query("WITH " + GOV + """, occ AS (SELECT lemma, count(*) AS n_occ, count(DISTINCT (doc_id, sent_idx)) AS n_sents, count(DISTINCT doc_id) AS n_reviews FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY lemma),
+ sh AS (SELECT lemma, avg((child IN ('amod', 'acomp'))::INT) AS a_share FROM gov GROUP BY lemma)
  SELECT lemma, n_occ, n_sents, n_reviews, round(a_share, 6) AS a_share FROM occ LEFT JOIN sh USING (lemma)
  WHERE n_sents >= 0.001 * (SELECT count(*) FROM (SELECT DISTINCT doc_id, sent_idx FROM tokens)) AND (a_share IS NULL OR a_share >= 0.09)""")
 def aspect_unigrams(t: Tables) -> DataFrame:
-    return G.unigrams(tokens(t), 0.001, 0.09).withColumn("a_share", F.round("a_share", 6))
+    return G.unigrams(annotated(t), 0.001, 0.09).withColumn("a_share", F.round("a_share", 6))
 
 
 @query("WITH " + BI.replace("{least}", "2") + " SELECT w1, w2, n_sents, n_votes, round(score, 9) AS score FROM bi")
 def aspect_bigrams(t: Tables) -> DataFrame:
-    return G.bigrams(tokens(t), 2).withColumn("score", F.round("score", 9))
+    return G.bigrams(annotated(t), 2).drop("avg_distance").withColumn("score", F.round("score", 9))
 
 
-@query("WITH " + TRI + " SELECT w1, w2, w3, n_reviews FROM tri")
+@query("WITH " + TRI + """ SELECT w1, w2, w3, any_value(n_common) AS n_common, count(DISTINCT (doc_id, sent_idx)) FILTER (doc_id IS NOT NULL) AS n_sents, count(DISTINCT doc_id) AS n_reviews
+ FROM tri LEFT JOIN ts USING (w1, w2, w3) GROUP BY ALL""")
 def aspect_trigrams(t: Tables) -> DataFrame:
-    a = tokens(t)
-    return G.trigrams(a, G.bigrams(a, 3), 0.09)
+    """Chained bigrams, the reviews that hold both, and the sentences and reviews in which the trigram stands."""
+    m = Mined(t)
+    where = m.trigram_places().groupBy("w1", "w2", "w3").agg(F.count("*").alias("n_sents"), F.count_distinct("doc_id").alias("n_reviews"))
+    return m.trigrams.join(where, ["w1", "w2", "w3"], "left").na.fill(0, ["n_sents", "n_reviews"])
 
 
-@query("WITH " + BI.replace("{least}", "3") + """, uni AS (SELECT DISTINCT lemma, doc_id FROM tokens WHERE tag IN ('NN', 'NNS')),
- cov AS (SELECT DISTINCT u.word AS lemma, p.doc_id FROM bi JOIN pairs p ON p.w1 = least(bi.w1, bi.w2) AND p.w2 = greatest(bi.w1, bi.w2), unnest([bi.w1, bi.w2]) AS u(word))
+@query("WITH " + TRI + """, uni AS (SELECT DISTINCT lemma, doc_id FROM tokens WHERE tag IN ('NN', 'NNS')), bw AS (SELECT w1 AS word FROM bi UNION SELECT w2 FROM bi),
+ hold AS (SELECT w1 || ' ' || w2 AS aspect, doc_id FROM bs UNION SELECT w1 || ' ' || w2 || ' ' || w3, doc_id FROM ts), names AS (SELECT DISTINCT aspect FROM hold),
+ cov AS (SELECT DISTINCT word AS lemma, doc_id FROM (SELECT word, aspect FROM bw, names WHERE contains(aspect, word)) JOIN hold USING (aspect))
  SELECT lemma, count(*) AS n_reviews FROM uni ANTI JOIN cov USING (lemma, doc_id) GROUP BY lemma""")
 def unigram_review_dedupe(t: Tables) -> DataFrame:
-    a = tokens(t)
-    found = G.bigrams(a, 3)
-    keyed = found.select(F.least("w1", "w2").alias("w1"), F.greatest("w1", "w2").alias("w2"))
-    covered = G.noun_neighbours(a).select("w1", "w2", "doc_id").distinct().join(keyed, ["w1", "w2"]).select("doc_id", F.explode(F.array("w1", "w2")).alias("lemma")).distinct()
-    uni = a.filter(F.col("tag").isin(*A.NOUNS)).select("lemma", "doc_id").distinct()
+    """Reviews of each noun without those of the bigrams and trigrams that hold it as a part, if it is a bigram's word."""
+    m = Mined(t)
+    words = m.bigrams.select(F.explode(F.array("w1", "w2")).alias("word"))
+    joined = lambda df, *ws: df.select(F.concat_ws(" ", *ws).alias("string"), "doc_id")
+    aspects = written(joined(m.places, "w1", "w2").unionByName(joined(m.trigram_places(), "w1", "w2", "w3")).distinct(), "aspects")
+    covered = contained(words, aspects).join(aspects, "string").select(F.col("word").alias("lemma"), "doc_id").distinct()
+    uni = m.tokens.filter(F.col("tag").isin(*A.NOUNS)).select("lemma", "doc_id").distinct()
     return uni.join(covered, ["lemma", "doc_id"], "left_anti").groupBy("lemma").agg(F.count("*").alias("n_reviews"))
 
 
+@query("WITH " + TOK + """, v AS (SELECT DISTINCT term FROM tok), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]{2,}'))) AS word FROM benchmark)
+ SELECT word, count(*) AS n FROM b, v WHERE contains(term, word) GROUP BY word""")
+def contained_words(t: Tables) -> DataFrame:
+    """How many terms of the documents hold each word of the benchmark, anywhere within."""
+    words = t.benchmark.select(F.explode(letter_tokens(F.col("text"))).alias("w")).select(F.lower("w").alias("word"))
+    terms = X.term_counts(t.documents).select(F.col("term").alias("string"))
+    return contained(words, terms).groupBy("word").agg(F.count("*").alias("n"))
+
+
 @query("WITH " + TRI + """, inside AS (SELECT least(w1, w2) AS a, greatest(w1, w2) AS b FROM tri UNION SELECT least(w2, w3), greatest(w2, w3) FROM tri UNION SELECT least(w1, w3), greatest(w1, w3) FROM tri)
  SELECT w1, w2, n_sents FROM bi ANTI JOIN inside ON least(w1, w2) = a AND greatest(w1, w2) = b""")
 def bigram_subsumed(t: Tables) -> DataFrame:
-    a = tokens(t)
-    found = G.bigrams(a, 3)
-    tri = G.trigrams(a, found, 0.09)
-    inside = tri.select(F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("w1", "w2"), ("w2", "w3"), ("w1", "w3"))])).alias("p")).select("p.a", "p.b").distinct()
-    return found.join(inside, (F.least("w1", "w2") == F.col("a")) & (F.greatest("w1", "w2") == F.col("b")), "left_anti").select("w1", "w2", "n_sents")
+    m = Mined(t)
+    sides = F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")) for x, y in (("w1", "w2"), ("w2", "w3"), ("w1", "w3"))])
+    inside = m.trigrams.select(F.explode(sides).alias("p")).select("p.a", "p.b").distinct()
+    return m.bigrams.join(inside, (F.least("w1", "w2") == F.col("a")) & (F.greatest("w1", "w2") == F.col("b")), "left_anti").select("w1", "w2", "n_sents")
 
 
 @query("WITH " + TLEX + " SELECT token, round(pos, 6) AS pos, round(neg, 6) AS neg, round(obj, 6) AS obj FROM lex")
@@ -162,13 +211,13 @@ def lexicon_noscore(t: Tables) -> DataFrame:
 
 @query("WITH " + WLEX + " SELECT doc_id, term, round(w * coalesce(s, 1), 6) AS mul FROM w LEFT JOIN lex ON term = token")
 def all_words_mul(t: Tables) -> DataFrame:
-    w = weights(t)
+    w = written(weights(t), "weights")
     return L.all_words(w, lexicon(w, "term")).select("doc_id", "term", F.round("mul", 6).alias("mul"))
 
 
 @query("WITH " + WLEX + " SELECT doc_id, term, round(coalesce(s, 0), 6) AS score FROM w LEFT JOIN lex ON term = token")
 def all_words_score(t: Tables) -> DataFrame:
-    w = weights(t)
+    w = written(weights(t), "weights")
     return L.all_words(w, lexicon(w, "term")).select("doc_id", "term", F.round("score", 6).alias("score"))
 
 
@@ -177,21 +226,21 @@ _NOUN = TLEX + """, ns AS (SELECT doc_id, avg(s) AS score FROM tokens JOIN lex O
 
 @query("WITH " + _NOUN + " SELECT DISTINCT doc_id, lemma, round(score, 6) AS score FROM tokens JOIN ns USING (doc_id) WHERE tag IN ('NN', 'NNS')")
 def noun_scores(t: Tables) -> DataFrame:
-    a = tokens(t)
+    a = annotated(t)
     return L.noun_scores(a, lexicon(a, "word"), A.NOUNS).withColumn("score", F.round("score", 6))
 
 
 @query("WITH " + _NOUN + """, nl AS (SELECT DISTINCT doc_id, lemma AS term, score FROM tokens JOIN ns USING (doc_id) WHERE tag IN ('NN', 'NNS')), """
        + W_ + " SELECT doc_id, term, round(w * score, 6) AS mul FROM w JOIN nl USING (doc_id, term)")
 def noun_mul(t: Tables) -> DataFrame:
-    a = tokens(t)
+    a = annotated(t)
     scores = L.noun_scores(a, lexicon(a, "word"), A.NOUNS).withColumnRenamed("lemma", "term")
     return weights(t).join(scores, ["doc_id", "term"]).select("doc_id", "term", F.round(F.col("w") * F.col("score"), 6).alias("mul"))
 
 
 @query("WITH " + POL + " SELECT doc_id, sent_idx, round(polarity, 6) + 0 AS polarity FROM pol")
 def sentence_polarity(t: Tables) -> DataFrame:
-    a = tokens(t)
+    a = annotated(t)
     return L.sentence_polarity(a, lexicon(a, "word")).withColumn("polarity", F.round("polarity", 6) + 0.0)
 
 
@@ -199,33 +248,41 @@ def sentence_polarity(t: Tables) -> DataFrame:
    FROM (SELECT DISTINCT doc_id, sent_idx, word FROM tokens) JOIN lex ON word = token JOIN pol USING (doc_id, sent_idx) WHERE s = 0 GROUP BY word)
  SELECT word, n_pos, n_neg, n_all, round(CASE WHEN n_pos / n_all > 0.5 THEN n_pos / n_all WHEN n_neg / n_all > 0.5 THEN -n_neg / n_all ELSE 0 END, 6) AS prob FROM v""")
 def objective_words(t: Tables) -> DataFrame:
-    a = tokens(t)
+    a = annotated(t)
     lex = lexicon(a, "word")
     return L.objective_words(a, lex, L.sentence_polarity(a, lex)).withColumn("prob", F.round("prob", 6))
 
 
-@query("WITH " + TLEX + """ SELECT n.doc_id, n.lemma, round(sum((CASE WHEN pos > neg THEN pos WHEN neg > pos THEN -neg ELSE 0 END) * CASE WHEN g.tok_idx IS NULL THEN 1 ELSE -1 END), 6) AS score
- FROM tokens a JOIN tokens n ON a.doc_id = n.doc_id AND a.sent_idx = n.sent_idx AND a.head_idx = n.tok_idx AND a.dep = 'amod' JOIN lex ON a.word = token
- LEFT JOIN tokens g ON g.dep = 'neg' AND g.doc_id = a.doc_id AND g.sent_idx = a.sent_idx AND g.head_idx = a.tok_idx GROUP BY ALL""")
+@query("WITH " + GOV + ", vocab AS (SELECT DISTINCT word FROM tokens)," + LEX + """ SELECT a.doc_id, a.lemma, round(sum((CASE WHEN pos > neg THEN pos WHEN neg > pos THEN -neg ELSE 0 END) * CASE WHEN g.tok_idx IS NULL THEN 1 ELSE -1 END), 6) AS score
+ FROM gov a JOIN lex ON a.word = token LEFT JOIN tokens g ON g.dep = 'neg' AND g.doc_id = a.doc_id AND g.sent_idx = a.sent_idx AND g.head_idx = a.tok_idx
+ WHERE a.tag = 'JJ' AND child IN ('amod', 'acomp') GROUP BY ALL""")
 def adjective_noun_score(t: Tables) -> DataFrame:
-    a = tokens(t)
+    a = annotated(t)
     return L.adjective_noun(a, lexicon(a, "word")).withColumn("score", F.round("score", 6))
 
 
-def _occurrences(a: DataFrame) -> DataFrame:
-    found = G.bigrams(a, 3)
-    return G.occurrences(a, found, G.trigrams(a, found, 0.09))
+_SENSES = """byte AS (SELECT word, p AS place, md5(word || '#' || p) AS h FROM (SELECT DISTINCT word FROM tokens), unnest(range(1, ('0x' || substr(md5(word), 1, 2))::INT % 4 + 2)) AS u(p)),
+ sense AS (SELECT word AS token, place, substr('asnr', ('0x' || substr(h, 1, 2))::INT % 4 + 1, 1) AS cls, ('0x' || substr(h, 3, 2))::INT % 2 + 1 AS number,
+   ('0x' || substr(h, 5, 2))::INT / 256 AS pos, ('0x' || substr(h, 7, 2))::INT / 256 AS neg FROM byte)"""
+
+
+@query("WITH " + ANN + ", " + _SENSES + """, r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY NOT (cls IN ('a', 's') AND number = 1), place) AS r FROM sense)
+ SELECT token, place::INT AS place, cls, number::INT AS number, round(pos, 6) AS pos, round(neg, 6) AS neg FROM r WHERE r = 1""")
+def sense_choice(t: Tables) -> DataFrame:
+    """The sense of each word that counts: the first adjective's or satellite's of number 1, else the first."""
+    senses = L.hash_senses(tokens(t).select(F.col("word").alias("term")).distinct())
+    return L.preferred_sense(senses).select("token", "place", "cls", "number", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"))
 
 
 def _aspect_reviews(t: Tables) -> DataFrame:
     """Each aspect (noun, bigram or trigram) in each review: mean polarity of its sentences, and their words' signed lexicon scores as one sum."""
-    a = tokens(t)
-    lex = lexicon(a, "word")
-    occ = _occurrences(a)
-    pol = L.sentence_polarity(a, lex)
-    signed = F.when(F.greatest("pos", "neg", "obj") == F.col("pos"), F.col("pos")).when(F.greatest("pos", "neg", "obj") == F.col("neg"), -F.col("neg")).otherwise(F.lit(0.0))
-    sums = a.join(lex.select(F.col("token").alias("word"), signed.alias("s")), "word").groupBy("doc_id", "sent_idx").agg(F.sum("s").alias("lx"))
-    per = occ.join(pol, ["doc_id", "sent_idx"]).join(sums, ["doc_id", "sent_idx"], "left").groupBy("lemma", "doc_id").agg(
+    m = Mined(t)
+    lex = lexicon(m.tokens, "word")
+    signed = L.signed(F.col("pos"), F.col("neg"), F.col("obj"))
+    pol = L.sentence_polarity(m.tokens, lex)
+    sums = m.tokens.join(lex.select(F.col("token").alias("word"), signed.alias("s")), "word").groupBy("doc_id", "sent_idx").agg(F.sum("s").alias("lx"))
+    of_sentence = written(pol.join(sums, ["doc_id", "sent_idx"], "left"), "sentence-scores")
+    per = m.occurrences().join(of_sentence, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id").agg(
         (F.floor(F.avg("polarity") * 1e6) / 1e6).alias("blob"), F.count("*").alias("n_sents"), F.min("sent_idx").alias("first_sent"), F.sum(F.coalesce("lx", F.lit(0.0))).alias("lx")
     )
     per = per.withColumn("rating", F.col("doc_id") % 5 + 1)
@@ -234,18 +291,36 @@ def _aspect_reviews(t: Tables) -> DataFrame:
 
 @query("WITH " + OCC + " SELECT lemma, n_reviews FROM top")
 def top_aspects(t: Tables) -> DataFrame:
-    per = _occurrences(tokens(t)).select("lemma", "doc_id").distinct()
+    per = Mined(t).occurrences().select("lemma", "doc_id").distinct()
     return per.groupBy("lemma").agg(F.count("*").alias("n_reviews")).orderBy(F.desc("n_reviews"), "lemma")
 
 
-@query("WITH " + OCC + """, txt AS (SELECT lemma, doc_id, string_agg(sent, '' ORDER BY sent_idx) AS text, min(sent_idx) AS first_sent FROM occ JOIN sents USING (doc_id, sent_idx) GROUP BY ALL)
- SELECT lemma, doc_id, md5(text) AS text_md5, length(text) AS text_length, first_sent::INT AS first_sent FROM txt""")
+@query("WITH " + OCC + """, txt AS (SELECT lemma, doc_id, string_agg(sent, '' ORDER BY sent_idx) AS text, min(sent_idx) AS first_sent, arg_min(start, sent_idx) AS first_char
+   FROM occ JOIN sents USING (doc_id, sent_idx) JOIN tokens USING (doc_id, sent_idx, tok_idx) GROUP BY occ.lemma, doc_id)
+ SELECT lemma, doc_id, md5(text) AS text_md5, length(text) AS text_length, first_sent::INT AS first_sent, first_char FROM txt""".replace("SELECT lemma, doc_id, string_agg", "SELECT occ.lemma, doc_id, string_agg"))
 def aspect_texts(t: Tables) -> DataFrame:
-    """The sentences of each aspect in each review as one text."""
+    """The sentences of each aspect in each review as one text, and the character at which the aspect stands first."""
+    m = Mined(t)
     sents = t.documents.select("doc_id", F.posexplode(sentences(F.lower("text"))).alias("sent_idx", "sent"))
+    starts = m.tokens.select("doc_id", "sent_idx", "tok_idx", "start")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sent"))), lambda s: s["sent"]), "")
-    per = _occurrences(tokens(t)).join(sents, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id").agg(text.alias("text"), F.min("sent_idx").alias("first_sent"))
-    return per.select("lemma", "doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_length"), "first_sent")
+    per = m.occurrences().join(starts, ["doc_id", "sent_idx", "tok_idx"]).join(sents, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id")
+    told = per.agg(text.alias("text"), F.min("sent_idx").alias("first_sent"), F.min_by("start", "sent_idx").alias("first_char"))
+    return told.select("lemma", "doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_length"), "first_sent", "first_char")
+
+
+@query("WITH " + ANN + """, f AS (SELECT doc_id, sent_idx, min(start) AS spot FROM tokens WHERE tag IN ('NN', 'NNS') GROUP BY ALL), x AS (SELECT doc_id, sent_idx, sent, spot, string_split(sent, ' ') AS ws FROM f JOIN sents USING (doc_id, sent_idx)),
+ w AS (SELECT doc_id, sent_idx, spot, sent, len(ws) AS m, j, j + sum(length(ws[j])) OVER (PARTITION BY doc_id, sent_idx ORDER BY j) AS place FROM x, unnest(range(0, len(ws) + 1)) AS u(j)),
+ l AS (SELECT doc_id, sent_idx, any_value(sent) AS sent, any_value(m) AS m, count(*) FILTER (place < spot) AS word, list(place ORDER BY j) AS places
+   FROM (SELECT * REPLACE (coalesce(place, 0) AS place) FROM w) GROUP BY ALL),
+ r AS (SELECT doc_id, sent_idx, sent, r, substr(sent, places[greatest(0, word - r) + 1]::INT + 1, (places[least(word + r + 1, m) + 1] - places[greatest(0, word - r) + 1])::INT) AS part FROM l, unnest(range(0, 11)) AS u(r)),
+ b AS (SELECT doc_id, sent_idx, any_value(sent) AS sent, arg_max(part, r) FILTER (length(part) <= 80) AS part FROM r GROUP BY ALL)
+ SELECT doc_id, sent_idx, regexp_replace(regexp_replace(CASE WHEN length(sent) <= 80 THEN sent ELSE coalesce(part, '') END, '^[ \\t\\n\\r\\f\\v]+', ''), '[ \\t\\n\\r\\f\\v]+$', '') AS shown FROM b""")
+def snippets(t: Tables) -> DataFrame:
+    """Each sentence, where it is long, cut down to the words around its first noun."""
+    first = annotated(t).filter(F.col("tag").isin(*A.NOUNS)).groupBy("doc_id", "sent_idx").agg(F.min("start").alias("at"))
+    sents = t.documents.select("doc_id", F.posexplode(sentences(F.lower("text"))).alias("sent_idx", "sent"))
+    return sents.join(first, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", snippet(F.col("sent"), F.col("at")).alias("shown"))
 
 
 _RARE = ANN + """, rare AS (SELECT lemma FROM (SELECT lemma, count(*) AS c, sum(count(*)) OVER () AS n FROM tokens GROUP BY lemma) WHERE ln(c / n) < -5 AND lemma NOT IN ('the', 'data')),
@@ -254,7 +329,7 @@ _RARE = ANN + """, rare AS (SELECT lemma FROM (SELECT lemma, count(*) AS c, sum(
 
 @query("WITH " + _RARE + " SELECT lemma, n_occ, n_sents, n_reviews FROM occ")
 def rare_unigrams(t: Tables) -> DataFrame:
-    a = tokens(t)
+    a = annotated(t)
     excluded = a.sparkSession.createDataFrame([("the",), ("data",)], "lemma string")
     return G.unigrams(a, 0.0, 0.0, G.rare(a, -5.0, excluded)).drop("a_share")
 
@@ -273,16 +348,8 @@ def class_order(t: Tables) -> DataFrame:
 
 
 @query("WITH " + ASP + """ SELECT lemma, round(avg((class = 'pos')::INT), 3) * 100 AS pos, round(avg((class = 'mixed')::INT), 3) * 100 AS mixed,
- round(avg((class = 'neg')::INT), 3) * 100 AS neg, round(avg(rating), 6) AS rating FROM cls GROUP BY lemma""")
+ round(avg((class = 'neg')::INT), 3) * 100 AS neg, round(sum(rating * n_sents) / sum(n_sents), 6) AS rating FROM cls GROUP BY lemma""")
 def polarity_share(t: Tables) -> DataFrame:
+    """Shares of an aspect's reviews by class; the mean rating counts each of its sentences."""
     share = lambda c: (F.round(F.avg((F.col("class") == c).cast("double")), 3) * 100).alias(c)
-    return _aspect_reviews(t).groupBy("lemma").agg(share("pos"), share("mixed"), share("neg"), F.round(F.avg("rating"), 6).alias("rating"))
-
-
-@query(None)
-def cv_linear(t: Tables) -> DataFrame:
-    from ..operators.model import cross_validated
-    from .text_queries import classes
-
-    ranking = X.ranked(X.term_frequency(X.term_counts(t.documents)), "freq", 50)
-    return cross_validated(weights(t), ranking, classes(t), [10, 50], n_folds=3, max_iter=10)
+    return _aspect_reviews(t).groupBy("lemma").agg(share("pos"), share("mixed"), share("neg"), F.round(F.sum(F.col("rating") * F.col("n_sents")) / F.sum("n_sents"), 6).alias("rating"))

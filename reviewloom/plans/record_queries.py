@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..operators import features as X
 from ..operators import records as R
+from ..operators.shared import written
 from ..sources.files import with_index
 from .registry import Tables, query
 from .text_queries import W_, weights
@@ -154,9 +155,9 @@ _CHOSEN = """chosen AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC,
 
 def _ablation(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Test rows, means of the training rows, and ten terms in turn to appear and not to."""
-    w = weights(t)
-    top = w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(10)
-    chosen = with_index(top.withColumn("less", -F.col("n")), ["less", "term"], "place").select("term", (F.col("place") % 2 == 0).alias("appears"))
+    w = written(weights(t), "weights")
+    top = X.ranked(w.groupBy("term").agg(F.count("*").alias("n")), "n", 10)
+    chosen = written(top.select("term", (F.col("rank") % 2 == 1).alias("appears")), "chosen")
     return w.filter("doc_id % 10 >= 7"), X.mean_nonzero(w, F.col("doc_id") % 10 < 7), chosen
 
 

@@ -47,8 +47,8 @@ def classes(t: Tables) -> DataFrame:
     return t.labels.filter("quality in (0, 1)").select("doc_id", F.col("quality").alias("cls"))
 
 
-def weights(t: Tables) -> DataFrame:
-    return X.tfidf(t.documents, X.term_counts(t.documents))
+def weights(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    return X.tfidf(t.documents, only=only)
 
 
 @query("SELECT doc_id, md5({}) AS clean FROM documents".format(_sql_chain("lower(regexp_replace({}, '[\\x{{1F000}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{FE0F}}\\x{{200D}}]', '', 'g'))".format(_TAILED), [*T.contraction_rules(), *T.RULES])))
@@ -113,12 +113,12 @@ def tfidf_l2(t: Tables) -> DataFrame:
 
 @query("WITH " + W_.replace("tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL)", "tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term NOT IN ('the','and','for','der','que','les') GROUP BY ALL)") + " SELECT doc_id, term, round(w, 6) AS w FROM w")
 def tfidf_stopwords(t: Tables) -> DataFrame:
-    return X.tfidf(t.documents, X.without_terms(X.term_counts(t.documents), list(STOP))).withColumn("w", F.round("w", 6))
+    return X.tfidf(t.documents, without=STOP).withColumn("w", F.round("w", 6))
 
 
 @query("WITH " + CHI + " SELECT term, round(chi2, 6) AS chi2 FROM chi")
 def chi2_rank(t: Tables) -> DataFrame:
-    return X.chi2(weights(t), classes(t)).withColumn("chi2", F.round("chi2", 6))
+    return X.chi2(weights(t, classes(t)), classes(t)).withColumn("chi2", F.round("chi2", 6))
 
 
 @query("WITH " + GINI + " SELECT term, round(gini, 6) AS gini, major, num_pos::BIGINT AS num_pos, num_neg::BIGINT AS num_neg, total FROM gini")
@@ -151,7 +151,7 @@ def select_topk_freq(t: Tables) -> DataFrame:
 
 @query("WITH " + CHI + ", r AS (SELECT term, round(chi2, 6) AS chi2 FROM chi) SELECT *, row_number() OVER (ORDER BY chi2 DESC, term)::INT AS rank FROM r ORDER BY rank LIMIT 100")
 def select_topk_chi2(t: Tables) -> DataFrame:
-    return X.ranked(X.chi2(weights(t), classes(t)).withColumn("chi2", F.round("chi2", 6)), "chi2", 100)
+    return X.ranked(X.chi2(weights(t, classes(t)), classes(t)).withColumn("chi2", F.round("chi2", 6)), "chi2", 100)
 
 
 @query("WITH " + TF + """, r AS (SELECT term, row_number() OVER (ORDER BY sum(tf) DESC, term)::INT AS rank FROM tf GROUP BY term)

@@ -42,11 +42,34 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("word")).filter("word <> ''").distinct()
 
 
-def read_ranking(spark: SparkSession, path: str) -> DataFrame:
-    """(word, value, rank) from lines `word: value`, in the order of value and word."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, line): the lines of text files with the file, the place of the part of the file that a task
+    reads, and a number that grows within a part: together the order in which the lines stand, files by their names."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.withColumn("line", F.monotonically_increasing_id())
+
+
+_FILE_ORDER = ("file", "block", "line")
+
+
+def read_ranking(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
+    """(word, value, rank) from lines `word: value` in the order of the file; with k only the first k of them. A line
+    without a colon is none of them."""
     parts = F.split("value", ":\\s*")
-    df = spark.read.text(path).filter(F.contains("value", F.lit(":"))).select(strip(F.get(parts, 0)).alias("word"), F.get(parts, 1).try_cast("double").alias("value"))
-    return placed(df, [F.col("value").isNull(), -F.col("value"), F.col("word")], name="rank")
+    lines = numbered_lines(spark, path).filter(F.contains("value", F.lit(":")))
+    df = lines.select(strip(F.get(parts, 0)).alias("word"), F.get(parts, 1).try_cast("double").alias("value"), *_FILE_ORDER)
+    if k is not None:
+        df = df.orderBy(*_FILE_ORDER).limit(k)
+    return placed(df, [F.col(c) for c in _FILE_ORDER], name="rank").drop(*_FILE_ORDER)
+
+
+def read_term_list(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
+    """(term, rank) from one term a line, in the order of the file; with k only the first k. Empty lines count for
+    nothing."""
+    df = numbered_lines(spark, path).select(strip(F.col("value")).alias("term"), *_FILE_ORDER).filter("term <> ''")
+    if k is not None:
+        df = df.orderBy(*_FILE_ORDER).limit(k)
+    return placed(df, [F.col(c) for c in _FILE_ORDER], name="rank").drop(*_FILE_ORDER)
 
 
 def write_ranking(df: DataFrame, path: str, word: str = "term", value: str = "score") -> None:
