@@ -64,7 +64,7 @@ def _blocks(rows: DataFrame, n_rankings: int) -> DataFrame:
                 order = np.argsort(owner, kind="stable")
                 places, values = (pairs.field(c).to_numpy(zero_copy_only=False)[order] for c in ("i", "w"))
                 cells = [part.column("cls").to_numpy().astype(np.int8), part.column("fold").to_numpy().astype(np.int16), sizes.T.astype(np.int32), places.astype(np.int32), values.astype(np.float32)]
-                yield pa.RecordBatch.from_pydict({"n": [part.num_rows], **{name: [c.tobytes()] for name, c in zip(("cls", "fold", "sizes", "places", "vals"), cells, strict=True)}})
+                yield pa.RecordBatch.from_pydict({"n": pa.array([part.num_rows], pa.int32()), **{name: [c.tobytes()] for name, c in zip(("cls", "fold", "sizes", "places", "vals"), cells, strict=True)}})
 
     return rows.select("cls", "fold", "terms").mapInArrow(pack, "n int, cls binary, fold binary, sizes binary, places binary, vals binary")
 
@@ -124,7 +124,7 @@ def summed(blocks: DataFrame, models: list[np.ndarray], held_out: list[np.ndarra
 
     found = {(r["ranking"], r["slice"]): np.frombuffer(r["sums"]) for r in blocks.mapInArrow(run, schema).groupBy("ranking", "slice").applyInArrow(add, schema).collect()}
     sent.destroy()
-    whole = [np.concatenate([found.get((i, s), np.zeros(0)) for s in range(_SLICES)]).reshape(-1, shape[1]) if found else np.zeros(shape) for i, shape in enumerate(shapes)]
+    whole = [np.concatenate([found.get((i, s), np.zeros(0)) for s in range(_SLICES)]).reshape(shape) if found else np.zeros(shape) for i, shape in enumerate(shapes)]
     return [(m[-1], m[:-1]) for m in whole]
 
 
