@@ -187,3 +187,26 @@ def output_name(path: Column, ending: str) -> Column:
 def report_line(*cells: tuple[Column, int]) -> Column:
     """Cells, each cut and padded to its width, in a row."""
     return F.concat(*[F.rpad(c.cast("string"), n, " ") for c, n in cells])
+
+
+#: Patterns of the identifiers in links, by what they name.
+LINK_IDS = {
+    "store": r"^http.*/([0-9]+)/[0-9]+",
+    "review": r"^http.*/[0-9]+/([0-9]+)",
+    "profile": r"^http.*/profiles/([0-9]+)",
+    "forum": r"forumdisplay\.php\?fid=([0-9]+)",
+    "user": r"uid=([0-9]+)",
+    "topic": r"/topic/([0-9]+)",
+    "company": r"/company/([0-9]+)/kuchikomi",
+}
+
+
+def link_id(url: Column, kind: str) -> Column:
+    """The identifier of that kind in a link; null without one."""
+    return F.nullif(F.regexp_extract(url, LINK_IDS[kind], 1), F.lit("")).try_cast("long")
+
+
+def recommendation(x: Column) -> tuple[Column, Column]:
+    """(given, out of) of a text such as '(1-10): 8'; null for others."""
+    found = lambda i: F.nullif(F.regexp_extract(x, r"\(1-([0-9]+)\):\s*([0-9]+)", i), F.lit("")).try_cast("int")
+    return found(2), found(1)

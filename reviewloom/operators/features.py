@@ -127,6 +127,11 @@ def removed(weights: DataFrame, chosen: DataFrame) -> DataFrame:
     return weights.join(F.broadcast(chosen.select("term")), "term", "left_anti")
 
 
+def class_changed(rows: DataFrame, cls: str) -> DataFrame:
+    """rows, all of one class: a test set whose labels are overwritten."""
+    return rows.withColumn("class", F.lit(cls))
+
+
 def encoded_labels(rows: DataFrame, col: str) -> DataFrame:
     """rows with `code`: the place of the label among the sorted labels, from 0."""
     classes = rows.select(col).distinct().withColumn("code", F.row_number().over(W.orderBy(col)) - 1)

@@ -63,3 +63,10 @@ def lemmatized(words: DataFrame, dictionary: DataFrame, irregular: DataFrame | N
     has = dictionary.select(F.col("word").alias("form"), "cls").distinct()
     best = by_rule.join(has, ["form", "cls"], "left_semi").groupBy("word", "cls").agg(F.min_by("form", F.struct("round", F.length("form").alias("n"), "place")).alias("lemma"))
     return pairs.join(best, ["word", "cls"], "left").select("word", "cls", F.coalesce("lemma", "word").alias("lemma"))
+
+
+def lemma_tokens(tokens: DataFrame, lemmas: DataFrame, default: str | None = None) -> DataFrame:
+    """tokens (word, cls, ...) with lemma_pos, as lemma_cls, from lemmas (word, cls, lemma). A token without a class is
+    left out, or counts as of the class `default`."""
+    known = tokens.filter("cls is not null") if default is None else tokens.withColumn("cls", F.coalesce("cls", F.lit(default)))
+    return known.join(lemmas, ["word", "cls"]).withColumn("lemma_pos", F.concat_ws("_", "lemma", "cls")).drop("lemma")

@@ -41,4 +41,4 @@ def placed(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = (), n
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return numbered.join(starts, on).select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+    return numbered.join(F.broadcast(starts) if not groups else starts, on).select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))

@@ -15,6 +15,13 @@ def present(cols: list[Column]) -> Column:
     return F.filter(F.array(*[c.cast("double") for c in cols]), lambda v: v.isNotNull() & (v != -1))
 
 
+def complete(scores: list[Column], content: Column | None = None, missing: int = -1) -> Column:
+    """Whether all scores are there, above the number that stands for a missing one, and the text isn't empty. A null
+    score or text is missing."""
+    there = F.forall(F.array(*scores), lambda v: F.coalesce(v > missing, F.lit(False)))
+    return there if content is None else there & F.coalesce(F.length(content) > 0, F.lit(False))
+
+
 def _moment(values: Column, k: int) -> Column:
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n

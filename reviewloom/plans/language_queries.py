@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import word_class
 from ..operators import lemmas as L
 from ..operators.segment import han_words
-from .aspect_queries import ANN, tokens
+from .aspect_queries import ANN, annotated, tokens
 from .registry import Tables, query
 
 #: Words of a small dictionary with frequencies, and phrases that can be cut in several ways.
@@ -52,11 +52,40 @@ _LEMMAS = ANN + f""", rule(cls, o, old, new) AS (VALUES {_RULES}), irr(word, cls
  best AS (SELECT c.*, row_number() OVER (PARTITION BY c.word, c.cls ORDER BY round, length(form), path) AS r FROM cand c SEMI JOIN dict d ON d.word = c.form AND d.cls = c.cls)"""
 
 
-@query("WITH RECURSIVE " + _LEMMAS + " SELECT word, cls, coalesce(form, word) AS lemma FROM voc LEFT JOIN (SELECT word, cls, form FROM best WHERE r = 1) USING (word, cls)")
-def lemmas(t: Tables) -> DataFrame:
-    """The lemma of each word by its word class."""
-    seen = tokens(t).select("word", "tag").distinct().select("word", "tag", word_class(F.col("tag")).alias("cls"))
+def _lemmatized(t: Tables, a: DataFrame, default: str | None = None) -> DataFrame:
+    seen = a.select("word", "tag").distinct().select("word", "tag", word_class(F.col("tag")).alias("cls"))
     irregular = t.spark.createDataFrame(L.IRREGULAR, "word string, cls string, lemma string")
     as_any = seen.filter("tag = 'NN'").select("word", F.explode(F.array(*[F.lit(c) for c in "nva"])).alias("cls"))
     dictionary = as_any.unionByName(seen.filter("tag = 'JJ'").select("word", "cls")).unionByName(irregular.select(F.col("lemma").alias("word"), "cls"))
-    return L.lemmatized(seen.filter("cls is not null"), dictionary, irregular)
+    asked = seen.filter("cls is not null") if default is None else seen.withColumn("cls", F.coalesce("cls", F.lit(default)))
+    return L.lemmatized(asked, dictionary, irregular)
+
+
+_CHOSEN = " SELECT word, cls, coalesce(form, word) AS lemma FROM voc LEFT JOIN (SELECT word, cls, form FROM best WHERE r = 1) USING (word, cls)"
+
+
+@query("WITH RECURSIVE " + _LEMMAS + _CHOSEN)
+def lemmas(t: Tables) -> DataFrame:
+    """The lemma of each word by its word class."""
+    return _lemmatized(t, tokens(t))
+
+
+_OF_TOKEN = """, lem AS ({}), cl AS (SELECT word, CASE left(tag, 2) WHEN 'NN' THEN 'n' WHEN 'VB' THEN 'v' WHEN 'JJ' THEN 'a' WHEN 'RB' THEN 'r' END AS cls FROM tokens)
+ SELECT lemma || '_' || cls AS lemma_pos, count(*) AS n FROM ({}) JOIN lem USING (word, cls) GROUP BY ALL"""
+
+
+@query("WITH RECURSIVE " + _LEMMAS + _OF_TOKEN.format(_CHOSEN, "SELECT * FROM cl WHERE cls IS NOT NULL"))
+def lemma_counts(t: Tables) -> DataFrame:
+    """How often each lemma stands with each class; words of other classes are left out."""
+    a = annotated(t)
+    of_tokens = L.lemma_tokens(a.select("word", word_class(F.col("tag")).alias("cls")), _lemmatized(t, a))
+    return of_tokens.groupBy("lemma_pos").agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE " + _LEMMAS.replace("ELSE 'r' END AS cls FROM tokens WHERE left(tag, 2) IN ('NN', 'VB', 'JJ', 'RB'))", "WHEN 'RB' THEN 'r' ELSE 'n' END AS cls FROM tokens)")
+       + _OF_TOKEN.format(_CHOSEN, "SELECT word, coalesce(cls, 'n') AS cls FROM cl"))
+def lemma_counts_all(t: Tables) -> DataFrame:
+    """The same with words of other classes as nouns."""
+    a = annotated(t)
+    of_tokens = L.lemma_tokens(a.select("word", word_class(F.col("tag")).alias("cls")), _lemmatized(t, a, "n"), "n")
+    return of_tokens.groupBy("lemma_pos").agg(F.count("*").alias("n"))

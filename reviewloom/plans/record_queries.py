@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..operators import features as X
 from ..operators import records as R
+from ..operators import rowstats as S
 from ..operators.shared import written
 from ..sources.files import with_index
 from .registry import Tables, query
@@ -109,7 +110,7 @@ def category_names(t: Tables) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, o_orderkey || '/' || (o_orderkey + 1) AS ratio, o_orderkey::INT AS head, (o_orderkey * 1000)::DOUBLE AS miles, (o_orderkey + 0.5)::DOUBLE AS hours,
- 'it''s "x"' AS quoted, 'ab' AS letters FROM orders""")
+ 'it''s "' || o_orderkey || '"' AS quoted, CASE o_orderkey % 3 WHEN 0 THEN 'ab' WHEN 1 THEN '###' ELSE '' END AS letters FROM orders""")
 def scraped_numbers(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     of = F.concat(k.cast("string"), F.lit(" of "), (k + 1).cast("string"))
@@ -117,7 +118,8 @@ def scraped_numbers(t: Tables) -> DataFrame:
     hours = F.concat(k.cast("string"), F.lit(".5 hrs on record"))
     return t.orders.select(
         "o_orderkey", P.as_ratio(of).alias("ratio"), P.ratio_head(of).alias("head"), P.amount_before(miles, "miles").alias("miles"), P.amount_before(hours, "hrs").alias("hours"),
-        P.plain_quotes(F.lit("it’s “x”")).alias("quoted"), P.first_letters_or_mark(F.concat(k.cast("string"), F.lit("ab12cd"))).alias("letters"),
+        P.plain_quotes(F.concat(F.lit("it’s “"), k.cast("string"), F.lit("”"))).alias("quoted"),
+        P.first_letters_or_mark(F.concat(k.cast("string"), F.element_at(F.array(F.lit("ab12cd"), F.lit("##4####x"), F.lit("##")), (k % 3 + 1).cast("int")))).alias("letters"),
     )
 
 
@@ -171,3 +173,50 @@ def ablation_substituted(t: Tables) -> DataFrame:
 def ablation_removed(t: Tables) -> DataFrame:
     test, _, chosen = _ablation(t)
     return X.removed(test, chosen).select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
+@query("WITH " + W_ + ", " + _CHOSEN + " SELECT doc_id, term, round(w, 6) AS w, 'pos' AS class FROM test")
+def ablation_class_changed(t: Tables) -> DataFrame:
+    """The untouched test rows under one class."""
+    test, _, _ = _ablation(t)
+    return X.class_changed(test, "pos").select("doc_id", "term", F.round("w", 6).alias("w"), "class")
+
+
+@query("WITH " + W_ + ", " + _CHOSEN + " SELECT doc_id, term, round(w, 6) AS w, 'pos' AS class FROM removed")
+def ablation_removed_class_changed(t: Tables) -> DataFrame:
+    test, _, chosen = _ablation(t)
+    return X.class_changed(X.removed(test, chosen), "pos").select("doc_id", "term", F.round("w", 6).alias("w"), "class")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 AND o_orderkey % 3 <> 0""")
+def filter_complete(t: Tables) -> DataFrame:
+    """Rows of one status with all scores and a text; -1 and null scores, empty and null texts are missing."""
+    k = F.col("o_orderkey")
+    scores = [k % 5 - 1, F.when(k % 7 > 0, k % 7 - 1), k % 11 - 1]
+    content = F.when(k % 6 == 0, "").when(k % 3 != 0, "text")
+    scores = [F.when(s >= 0, s).otherwise(-1) if i != 1 else s for i, s in enumerate(scores)]
+    return t.orders.filter((F.col("o_orderstatus") == "O") & S.complete(scores, content)).select("o_orderkey")
+
+
+@query("""WITH u AS (SELECT event_id, user_id AS n FROM events) SELECT event_id, CASE event_id % 7 WHEN 0 THEN n WHEN 1 THEN n END AS store, CASE event_id % 7 WHEN 0 THEN event_id WHEN 1 THEN event_id END AS review,
+ CASE event_id % 7 WHEN 2 THEN n END AS profile, CASE event_id % 7 WHEN 3 THEN n END AS forum, CASE event_id % 7 WHEN 4 THEN n END AS member, CASE event_id % 7 WHEN 5 THEN n END AS topic, CASE event_id % 7 WHEN 6 THEN n END AS company FROM u""")
+def link_ids(t: Tables) -> DataFrame:
+    """Identifiers of stores, reviews, profiles, forums, users, topics and companies in links."""
+    n, e = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shapes = [cat("http://a.b/c/", n, "/", e), cat("https://a.b/", n, "/", e, "?x"), cat("http://s.c/profiles/", n, "/"), cat("http://x/forumdisplay.php?fid=", n, "&page=2"), cat("/home?uid=", n, "&a=1"), cat("http://s.d/topic/", n, "?q"), cat("https://h/company/", n, "/kuchikomi/")]
+    url = F.element_at(F.array(*shapes), (F.col("event_id") % 7 + 1).cast("int"))
+    names = {"store": "store", "review": "review", "profile": "profile", "forum": "forum", "member": "user", "topic": "topic", "company": "company"}
+    return t.events.select("event_id", *[P.link_id(url, kind).alias(name) for name, kind in names.items()])
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS theme, (event_id % 4 >= 3 OR event_type = 'error' AND event_id % 4 > 0) AS has_error FROM events WHERE event_id % 5 <> 0 ORDER BY ts DESC, event_id DESC""")
+def response_firsts(t: Tables) -> DataFrame:
+    """Of responses that have data, newest first, the first theme's label, if there is one, and whether a label is among
+    them."""
+    themes = F.slice(F.array(*[F.struct(F.when(F.lit(i) == 0, F.col("event_type")).otherwise(F.when(F.lit(i) == 2, "error").otherwise("x")).alias("label")) for i in range(3)]), F.lit(1), (F.col("event_id") % 4).cast("int"))
+    data = F.when(F.col("event_id") % 5 != 0, F.struct(themes.alias("themes")))
+    saved = t.events.select("event_id", "ts", F.from_json(F.to_json(F.struct(data.alias("data"))), "data struct<themes:array<struct<label:string>>>").alias("r"))
+    held = saved.filter(F.col("r.data").isNotNull()).orderBy(F.desc("ts"), F.desc("event_id"))
+    labels = F.transform("r.data.themes", lambda x: x["label"])
+    return held.select("event_id", F.get("r.data.themes", 0)["label"].alias("theme"), F.array_contains(labels, "error").alias("has_error"))

@@ -308,9 +308,9 @@ def url_ids(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.regexp_extract("url", "/([0-9]+)", 1).try_cast("long").alias("id"), F.regexp_extract("url", "[?&]ref=([^&#]*)", 1).alias("ref"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') || '/' AS domain, 'a b c+d' AS shown FROM pages")
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') || '/' AS domain, 'a ' || page_id || ' c%d ' || replace(url, '+', ' ') AS shown FROM pages")
 def url_domain(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", P.domain(F.col("url")).alias("domain"), F.replace(P.decoded(F.lit("a+b%20c%25d")), F.lit("%"), F.lit("+")).alias("shown"))
+    return t.pages.select("page_id", P.domain(F.col("url")).alias("domain"), P.decoded(F.concat(F.lit("a+"), F.col("page_id").cast("string"), F.lit("%20c%25d+"), F.url_encode("url"))).alias("shown"))
 
 
 @query("SELECT page_id, list_max(list_transform(regexp_extract_all(url, 'page=([0-9]+)', 1), lambda x: x::INT)) AS last_page FROM pages")

@@ -91,9 +91,9 @@ def vocabulary(t: Tables) -> DataFrame:
     return X.term_counts(t.documents).select("term").distinct()
 
 
-@query("SELECT doc_id, text AS shown, lower(replace(regexp_replace(source || ', Inc.', '[.,'']', '', 'g'), ' ', '_')) AS slug FROM documents")
+@query("SELECT doc_id, md5(lower(replace(regexp_replace(text, '[.,'']', '', 'g'), ' ', '_'))) AS shown, lower(replace(regexp_replace(source || ', Inc.', '[.,'']', '', 'g'), ' ', '_')) AS slug FROM documents")
 def file_slug(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.col("text").alias("shown"), T.slug(F.concat("source", F.lit(", Inc."))).alias("slug"))
+    return t.documents.select("doc_id", F.md5(T.slug(F.col("text"))).alias("shown"), T.slug(F.concat("source", F.lit(", Inc."))).alias("slug"))
 
 
 @query("WITH " + TF + " SELECT term, sum(tf)::BIGINT AS freq FROM tf GROUP BY term")
@@ -180,6 +180,7 @@ def aspect_semi_filter(t: Tables) -> DataFrame:
     return X.term_frequency(X.term_counts(t.documents)).join(aspects, "term", "left_semi")
 
 
-@query(None)
+@query(r"""WITH r AS (SELECT doc_id, regexp_extract_all('这家店很好 ' || text || ' 服务快' || ['好', '中国', '学生们'][doc_id % 3 + 1], '\p{Han}+') AS runs FROM documents)
+ SELECT doc_id, flatten(list_transform(runs, lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))) AS tokens FROM r""")
 def cjk_tokens(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.han_bigrams(F.concat(F.lit("这家店很好 "), "text", F.lit(" 服务快"))).alias("tokens"))
+    return t.documents.select("doc_id", T.han_bigrams(F.concat(F.lit("这家店很好 "), "text", F.lit(" 服务快"), F.element_at(F.array(F.lit("好"), F.lit("中国"), F.lit("学生们")), (F.col("doc_id") % 3 + 1).cast("int")))).alias("tokens"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.places import placed
+from ..operators.rowstats import Interval, interval_name
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, keep_empty: bool = False) -> DataFrame:
@@ -30,6 +31,29 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def read_reviews_json(spark: SparkSession, path: str, content: str = "content", recommend: str = "will_recommend") -> DataFrame:
+    """Reviews of a JSON array with posneg: 1 where the reviewer recommends (1), else 0, also where nothing is said; only
+    .json paths are taken. Texts lose the white space at their ends."""
+    if not path.endswith(".json"):
+        raise ValueError("a .json file is needed")
+    df = read_json(spark, path)
+    return df.withColumn(content, strip(F.col(content))).withColumn("posneg", F.coalesce((F.col(recommend) == 1).cast("int"), F.lit(0)))
+
+
+def read_tasks(spark: SparkSession, path: str, listed: str) -> DataFrame:
+    """The entries that a JSON task file lists under a name, one row each, beside the file's own fields."""
+    whole = read_json(spark, path)
+    return whole.select(*[c for c in whole.columns if c != listed], F.inline(F.col(listed)))
+
+
+def words_of_all(*lists: DataFrame) -> DataFrame:
+    """(word): the words of any of the lists, each once."""
+    every = lists[0].select("word")
+    for other in lists[1:]:
+        every = every.unionByName(other.select("word"))
+    return every.distinct()
+
+
 def read_lexicon_json(spark: SparkSession, path: str) -> DataFrame:
     """(token, pos, neg, obj) from one JSON object of word to three numbers."""
     whole = spark.read.text(path, wholetext=True)
@@ -91,6 +115,19 @@ def write_csv_by(df: DataFrame, path: str, *groups: str) -> None:
     df.write.mode("overwrite").partitionBy(*groups).option("header", True).csv(path)
 
 
+def write_intervals(df: DataFrame, path: str, value: str, intervals: tuple[Interval, ...], others: tuple[str, ...] = ()) -> None:
+    """One folder for each interval of a column's values, named after it; the other statistics' columns are left out, as
+    are rows that no interval holds."""
+    parts = df.withColumn("part", interval_name(F.col(value), intervals)).filter("part is not null").drop(*others)
+    write_csv_by(parts, path, "part")
+
+
+def write_feed(items: DataFrame, path: str, kind: str, fields: list[str], kind_col: str = "kind") -> None:
+    """The items of one kind as CSV with the given fields in that order; a field that none has is an empty column."""
+    have = set(items.columns)
+    write_csv(items.filter(F.col(kind_col) == kind).select(*[F.col(f) if f in have else F.lit(None).cast("string").alias(f) for f in fields]), path)
+
+
 def write_csv_indexed(df: DataFrame, path: str, order: list[str], index: str = "index") -> None:
     """CSV with a column of places from 0 in the given order."""
     write_csv(with_index(df, order, index), path)

@@ -43,7 +43,3 @@ def test_matches_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
-
-
-def test_han(spark):
-    assert QUERIES["cjk_tokens"](spark, SF).first()["tokens"][:2] == ["这家", "家店"]
