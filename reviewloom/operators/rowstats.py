@@ -22,9 +22,12 @@ def complete(scores: list[Column], content: Column | None = None, missing: int =
     return there if content is None else there & F.coalesce(F.length(content) > 0, F.lit(False))
 
 
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0))
+
+
 def _moment(values: Column, k: int) -> Column:
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+    n, mean = F.size(values), _mean(values)
     total = F.aggregate(F.transform(values, lambda v: F.pow(v - mean, F.lit(k))), F.lit(0.0), lambda a, v: a + v)
     return F.when(n > 0, total / n)
 
@@ -49,6 +52,21 @@ def spread(values: Column) -> Column:
     return F.array_max(values) - F.array_min(values)
 
 
+#: What a row's values can be described by.
+STATISTICS = {"variance": variance, "skewness": skewness, "kurtosis": kurtosis, "range": spread}
+
+
+def curated(name: str, values: Column, threshold: float | None = None) -> Column:
+    """The attribute of that name: a statistic of the values, or "label", by their mean against the threshold."""
+    if name == "label":
+        if threshold is None:
+            raise ValueError("a label needs a threshold")
+        return label(_mean(values), threshold)
+    if name not in STATISTICS:
+        raise ValueError(f"no such attribute: {name}")
+    return STATISTICS[name](values)
+
+
 def label(x: Column, threshold: float) -> Column:
     return F.when(x >= threshold, "pos").otherwise("neg")
 

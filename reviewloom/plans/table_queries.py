@@ -30,11 +30,8 @@ def scored(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", vals.alias("v"))
 
 
-_STAT = {"variance": S.variance, "skewness": S.skewness, "kurtosis": S.kurtosis, "range": S.spread}
-
-
 def _stat(t: Tables, name: str) -> DataFrame:
-    return scored(t).select("l_orderkey", "l_linenumber", "l_partkey", F.round(_STAT[name](F.col("v")), 6).alias(name))
+    return scored(t).select("l_orderkey", "l_linenumber", "l_partkey", F.round(S.curated(name, F.col("v")), 6).alias(name))
 
 
 def _stat_sql(name: str) -> str:
