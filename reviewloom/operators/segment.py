@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a dictionary that is broadcast.
-BROADCAST_ROWS = 1_000_000
+from .shared import if_few, written
+
 _RUN = "[\\p{IsHan}]+|[\\p{L}\\p{N}_&&[^\\p{IsHan}]]+"
 
 
@@ -34,33 +34,41 @@ def _best(places: Column) -> Column:
     return F.aggregate(F.slice(kept, F.lit(1), F.size(kept) - 1), begin, walk)["ns"]
 
 
+def segmented(runs: DataFrame, dictionary: DataFrame, longest: int) -> DataFrame:
+    """(text, words) of distinct runs of Han characters (text)."""
+    total = dictionary.agg(F.sum("freq").cast("double").alias("_total"))
+    weighted = dictionary.groupBy("word").agg(F.sum("freq").alias("freq")).join(F.broadcast(total)).select(F.col("word").alias("sub"), F.log(F.col("freq") / F.col("_total")).alias("score"))
+    places = runs.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - F.col("at") + 1))
+    subs = places.select("text", "at", F.explode(lengths).alias("n")).withColumn("sub", F.substring("text", F.col("at"), F.col("n")))
+    edges = subs.join(if_few(weighted), "sub", "left").filter("n = 1 or score is not null").join(F.broadcast(total))
+    at = edges.groupBy("text", "at").agg(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), F.coalesce("score", -F.log("_total")).alias("score"))).alias("words"), F.max("n").alias("most"))
+    order = W.partitionBy("text").orderBy("at")
+    reach = F.max(F.col("at") + F.col("most")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    pieces = at.withColumn("_new", (F.coalesce(reach, F.lit(0)) <= F.col("at")).cast("int")).withColumn("piece", F.sum("_new").over(order))
+    whole = pieces.groupBy("text", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("ps"))
+    cut = whole.select("text", "piece", F.get("ps", 0)["at"].alias("at"), _best(F.transform("ps", lambda p: p["words"])).alias("ns"))
+    begin = F.struct(F.col("at").alias("end"), F.array().cast("array<struct<from:int,n:int>>").alias("all"))
+    ends = F.aggregate("ns", begin, lambda s, n: F.struct((s["end"] + n).alias("end"), F.concat(s["all"], F.array(F.struct(s["end"].alias("from"), n.alias("n")))).alias("all")))["all"]
+    found = cut.select("text", "piece", F.transform(ends, lambda e: F.substring("text", e["from"], e["n"])).alias("words"))
+    parts = found.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("piece", "words"))).alias("parts"))
+    return parts.select("text", F.flatten(F.transform("parts", lambda p: p["words"])).alias("words"))
+
+
 def han_words(docs: DataFrame, dictionary: DataFrame, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, words): the words of each text in order; dictionary is (word, freq), longest its longest word's length.
 
     Runs of other letters and digits are words by themselves; marks and blanks are none. In a run of Han characters,
     words that the dictionary has, and each single character, weigh ln(freq / sum of freq), freq 1 where it lacks a
     character; the run is cut so that the sum is greatest. A run is first cut where no word of the dictionary crosses,
-    as any path must pass there, so that a piece is no longer than a chain of overlapping words. A null text has no words.
+    as any path must pass there, so that a piece is no longer than a chain of overlapping words. Each run is cut once,
+    however many texts hold it, and only runs of Han characters leave their texts. A null text has no words; id_col is
+    each document's own.
     """
-    total = dictionary.agg(F.sum("freq").cast("double").alias("_total"))
-    weighted = dictionary.groupBy("word").agg(F.sum("freq").alias("freq")).join(F.broadcast(total)).select(F.col("word").alias("sub"), F.log(F.col("freq") / F.col("_total")).alias("score"))
-    runs = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(_RUN), F.lit(0))).alias("run", "text"))
-    han = runs.filter(F.col("text").rlike("^[\\p{IsHan}]"))
-    places = han.select("doc_id", "run", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("text") - F.col("at") + 1))
-    subs = places.select("doc_id", "run", "at", F.explode(lengths).alias("n"), F.col("text")).select("doc_id", "run", "at", "n", F.substring("text", F.col("at"), F.col("n")).alias("sub"))
-    known = F.broadcast(weighted) if dictionary.count() <= BROADCAST_ROWS else weighted
-    edges = subs.join(known, "sub", "left").filter("n = 1 or score is not null").join(F.broadcast(total))
-    at = edges.groupBy("doc_id", "run", "at").agg(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), F.coalesce("score", -F.log("_total")).alias("score"))).alias("words"), F.max("n").alias("most"), F.max(F.when(F.col("n") == 1, F.col("sub"))).alias("char"))
-    order = W.partitionBy("doc_id", "run").orderBy("at")
-    reach = F.max(F.col("at") + F.col("most")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    pieces = at.withColumn("_new", (F.coalesce(reach, F.lit(0)) <= F.col("at")).cast("int")).withColumn("piece", F.sum("_new").over(order))
-    whole = pieces.groupBy("doc_id", "run", "piece").agg(F.array_sort(F.collect_list(F.struct("at", "words", "char"))).alias("ps"))
-    cut = whole.select("doc_id", "run", "piece", F.array_join(F.transform("ps", lambda p: p["char"]), "").alias("text"), _best(F.transform("ps", lambda p: p["words"])).alias("ns"))
-    ends = F.aggregate("ns", F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from:int,n:int>>").alias("all")), lambda s, n: F.struct((s["end"] + n).alias("end"), F.concat(s["all"], F.array(F.struct((s["end"] + 1).alias("from"), n.alias("n")))).alias("all")))["all"]
-    found = cut.select("doc_id", "run", "piece", F.transform(ends, lambda e: F.substring("text", e["from"], e["n"])).alias("words"))
-    other = runs.filter(~F.col("text").rlike("^[\\p{IsHan}]")).select("doc_id", "run", F.lit(0).cast("long").alias("piece"), F.array("text").alias("words"))
-    parts = found.unionByName(other).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("run", "piece", "words"))).alias("parts"))
-    words = F.flatten(F.transform("parts", lambda p: p["words"]))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    return ids.join(parts.select("doc_id", words.alias("words")), "doc_id", "left").select("doc_id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    runs = F.regexp_extract_all(F.col("text"), F.lit(_RUN), F.lit(0))
+    han = texts.select("doc_id", F.posexplode(F.transform(runs, lambda r: F.when(r.rlike("^[\\p{IsHan}]"), r))).alias("run", "text")).filter("text is not null")
+    known = written(segmented(han.select("text").distinct(), dictionary, longest), "han-runs")
+    own = han.join(if_few(known), "text").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("run", "words"))).alias("cut"))
+    words = F.flatten(F.transform(runs, lambda r, i: F.coalesce(F.try_element_at("cut", i), F.array(r))))
+    return texts.join(own, "doc_id", "left").select("doc_id", F.coalesce(words, F.array().cast("array<string>")).alias("words"))

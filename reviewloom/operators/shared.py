@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
@@ -33,3 +34,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a table of a few short values a row is broadcast: about the 10 MB up to which Spark does so by itself.
+BROADCAST_ROWS = 200_000
+
+
+def if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows; they are counted."""
+    return F.broadcast(df) if df.count() <= most else df
