@@ -9,10 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import vector_tokens
-from .shared import written
-
-#: Rows of a table of terms that is broadcast.
-BROADCAST_ROWS = 2_000_000
+from .shared import if_few, written
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,21 +38,20 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", witho
     """(doc_id, term, w): tf * (ln((1+n)/(1+df)) + 1), each document's weights of unit length.
 
     n and df are of all documents; terms in `without` count for nothing; weights are those of the documents in `only`
-    (doc_id), if it is given. id_col is each document's own. Document frequencies are made first, as a table, and
-    broadcast if it has few enough rows; documents are then dealt out by id once, so that a document's counts and its
-    length need no more exchange.
+    (doc_id), if it is given. id_col is each document's own. Document frequencies are made first, as a table of the terms
+    that more than one document has, and broadcast if that is small; texts are then dealt out by id once, so that a
+    document's counts and its length need no more exchange.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), vector_tokens(F.col(text_col)).alias("terms"))
-    if without:
-        own = own.withColumn("terms", F.filter("terms", lambda t: ~t.isin(list(without))))
-    n = docs.agg(F.count("*").alias("n"))
-    df = own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    table = written(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kept = lambda tokens: F.filter(tokens, lambda t: ~t.isin(list(without))) if without else tokens
+    n = texts.count()
+    df = texts.select(F.explode(F.array_distinct(kept(vector_tokens(F.col("text"))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weight = lambda x: F.log(F.lit(1.0 + n) / (1 + x)) + 1
+    table = written(df.filter("df > 1").select("term", weight(F.col("df")).alias("idf")), "idf")
     if only is not None:
-        own = own.join(only.select("doc_id"), "doc_id", "left_semi")
-    counts = own.repartition("doc_id").select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    few = table.count() <= BROADCAST_ROWS
-    raw = counts.join(F.broadcast(table) if few else table, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("v"))
+        texts = texts.join(if_few(only.select("doc_id")), "doc_id", "left_semi")
+    counts = texts.repartition("doc_id").select("doc_id", F.explode(kept(vector_tokens(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    raw = counts.join(if_few(table), "term", "left").select("doc_id", "term", (F.col("tf") * F.coalesce("idf", weight(F.lit(1)))).alias("v"))
     length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("doc_id")))
     return raw.select("doc_id", "term", (F.col("v") / length).alias("w"))
 
@@ -67,7 +63,7 @@ def without_terms(counts: DataFrame, words: list[str]) -> DataFrame:
 def chi2(weights: DataFrame, labels: DataFrame, value: str = "w") -> DataFrame:
     """(term, chi2) of summed weights against classes, over documents with a label (doc_id, cls)."""
     shares = labels.groupBy("cls").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy()))
-    observed = weights.join(labels, "doc_id").groupBy("term", "cls").agg(F.sum(value).alias("o"))
+    observed = weights.join(if_few(labels), "doc_id").groupBy("term", "cls").agg(F.sum(value).alias("o"))
     # classes where a term is absent add p * total each: sum (o-e)^2/e = sum o^2/e - total
     parts = observed.join(F.broadcast(shares.select("cls", "p")), "cls")
     return parts.groupBy("term").agg((F.sum(F.col("o") * F.col("o") / F.col("p")) / F.sum("o") - F.sum("o")).alias("chi2"))
@@ -76,7 +72,7 @@ def chi2(weights: DataFrame, labels: DataFrame, value: str = "w") -> DataFrame:
 def gini(counts: DataFrame, labels: DataFrame) -> DataFrame:
     """(term, gini, major, num_pos, num_neg, total): purity of the classes (cls 1 or 0) among documents with a term;
     major is 1, 0, or 2 when even."""
-    per = counts.join(labels, "doc_id").groupBy("term").agg(F.sum("cls").alias("num_pos"), F.count("*").alias("total"))
+    per = counts.join(if_few(labels), "doc_id").groupBy("term").agg(F.sum("cls").alias("num_pos"), F.count("*").alias("total"))
     neg = F.col("total") - F.col("num_pos")
     purity = F.pow(F.col("num_pos") / F.col("total"), 2) + F.pow(neg / F.col("total"), 2)
     major = F.when(F.col("num_pos") > neg, 1).when(F.col("num_pos") < neg, 0).otherwise(2)
