@@ -38,13 +38,22 @@ def lemma(word: Column, tagged: Column) -> Column:
 
 def _shifted(ts: Column, by: int) -> Column:
     """The array moved by so many places, nulls before it; the longer array's end counts for nothing."""
-    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("word", "tag", "lemma")])
+    empty = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("word", "tag")])
     return F.concat(F.array_repeat(empty, by), ts)
 
 
-def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sent_idx, ts, gaps): one row a sentence, its words with their tags, and the numbers of characters before
+    each word and after the last one. Small enough to be written once for what reads it several times."""
+    sents = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(F.lower(text_col))).alias("sent_idx", "sent"))
+    word = "[\\p{L}\\p{N}_]+"
+    words = sents.select("doc_id", "sent_idx", F.regexp_extract_all("sent", F.lit(word), F.lit(0)).alias("ws"), F.transform(F.split("sent", word), F.length).alias("gaps"))
+    return words.select("doc_id", "sent_idx", F.transform("ws", lambda w: F.struct(w.alias("word"), tag(w).alias("tag"))).alias("ts"), "gaps")
+
+
+def token_rows(sents: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, tok_idx, word, lemma, tag, dep, head_idx, head_word, head_lemma, head_tag, subj_idx,
-    subj_lemma, negated, gap), one row a token.
+    subj_lemma, negated, prev_lemma, prev_tag, next_lemma, next_tag, gap), one row a token of a sentence table.
 
     An adjective before a noun is its amod; one after a copula, or after a copula and a negation, is the copula's acomp;
     a noun before a copula is its nsubj; a negation belongs to the next word. Other tokens have dep `dep` and no head.
@@ -52,14 +61,11 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gap counts the characters between a token and the one before it, or the sentence's beginning. All are read off a
     sentence's array, so that no table is joined with itself.
     """
-    sents = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(F.lower(text_col))).alias("sent_idx", "sent"))
-    word = "[\\p{L}\\p{N}_]+"
-    words = sents.select("doc_id", "sent_idx", F.regexp_extract_all("sent", F.lit(word), F.lit(0)).alias("ws"), F.split("sent", word).alias("gaps"))
-    tags = words.select("doc_id", "sent_idx", "gaps", F.transform("ws", lambda w: F.struct(w.alias("word"), tag(w).alias("tag"))).alias("ts"))
-    full = tags.select("doc_id", "sent_idx", "gaps", F.transform("ts", lambda x: F.struct(x["word"].alias("word"), x["tag"].alias("tag"), lemma(x["word"], x["tag"]).alias("lemma"))).alias("ts"))
-    beside = {"t": F.col("ts"), "p1": _shifted(F.col("ts"), 1), "p2": _shifted(F.col("ts"), 2), "p3": _shifted(F.col("ts"), 3), "n1": F.slice("ts", F.lit(2), F.size("ts")), "g": F.transform("gaps", F.length)}
-    near = full.select("doc_id", "sent_idx", F.posexplode(F.arrays_zip(*[x.alias(n) for n, x in beside.items()])).alias("tok_idx", "x")).filter("x.t is not null")
+    ts = F.col("ts")
+    beside = {"t": ts, "p1": _shifted(ts, 1), "p2": _shifted(ts, 2), "p3": _shifted(ts, 3), "n1": F.slice(ts, F.lit(2), F.size(ts)), "g": F.col("gaps")}
+    near = sents.select("doc_id", "sent_idx", F.posexplode(F.arrays_zip(*[x.alias(n) for n, x in beside.items()])).alias("tok_idx", "x")).filter("x.t is not null")
     at = lambda name, field="tag": F.coalesce(F.col(f"x.{name}.{field}"), F.lit(""))
+    base = lambda x: lemma(x["word"], x["tag"])
     late = (at("p1") == "NEG") & (at("p2") == "VBZ")
     dep = (
         F.when((at("t") == "NEG") & (at("n1") != ""), "neg")
@@ -75,11 +81,18 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.when(ahead, F.col("tok_idx") + 1).when(behind, F.col("tok_idx") - F.when(F.col("_late"), 2).otherwise(1))
     told = rows.withColumn("_head", head).withColumn("_subject", F.when(subject["tag"].isin(*NOUNS), subject))
     return told.select(
-        "doc_id", "sent_idx", "tok_idx", "x.t.word", "x.t.lemma", "x.t.tag", "dep", place.alias("head_idx"), F.col("_head.word").alias("head_word"), F.col("_head.lemma").alias("head_lemma"), F.col("_head.tag").alias("head_tag"),
-        F.when(F.col("_subject").isNotNull(), F.col("tok_idx") - F.when(F.col("_late"), 3).otherwise(2)).alias("subj_idx"), F.col("_subject.lemma").alias("subj_lemma"), (at("p1") == "NEG").alias("negated"), F.col("x.g").alias("gap"),
+        "doc_id", "sent_idx", "tok_idx", "x.t.word", base(F.col("x.t")).alias("lemma"), "x.t.tag", "dep", place.alias("head_idx"),
+        F.col("_head.word").alias("head_word"), base(F.col("_head")).alias("head_lemma"), F.col("_head.tag").alias("head_tag"),
+        F.when(F.col("_subject").isNotNull(), F.col("tok_idx") - F.when(F.col("_late"), 3).otherwise(2)).alias("subj_idx"), base(F.col("_subject")).alias("subj_lemma"), (at("p1") == "NEG").alias("negated"),
+        base(F.col("x.p1")).alias("prev_lemma"), F.col("x.p1.tag").alias("prev_tag"), base(F.col("x.n1")).alias("next_lemma"), F.col("x.n1.tag").alias("next_tag"), F.col("x.g").alias("gap"),
     )
 
 
+def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tokens of documents, as token_rows has them."""
+    return token_rows(sentence_table(docs, id_col, text_col))
+
+
 def with_starts(tokens: DataFrame) -> DataFrame:
     """tokens with start: the characters of the sentence before each token."""
     before = W.partitionBy("doc_id", "sent_idx").orderBy("tok_idx").rowsBetween(W.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .annotate import NOUNS
+from .shared import if_few
 
 #: Tags and relations that a noun's neighbour in a bigram doesn't have.
 COMMON_TAGS = ("DT", "IN", "CC", "VBZ", "NEG", "RB")
@@ -52,19 +53,20 @@ def unigrams(tokens: DataFrame, min_pct: float = 0.001, a_pct: float = 0.0, amon
 
 def noun_neighbours(tokens: DataFrame, reach: int = 1) -> DataFrame:
     """(doc_id, sent_idx, w1, w2, forward, noun_idx, distance): each noun with each neighbour up to reach places away;
-    w1 < w2, forward where w1 stands first."""
-    sentence = W.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")
-    word = F.struct("tok_idx", F.col("lemma").alias("other"), F.col("tag").alias("other_tag"))
-    beside = [f(word, i).over(sentence) for i in range(1, reach + 1) for f in (F.lag, F.lead)]
-    near = tokens.withColumn("_near", F.array(*beside)).filter(F.col("tag").isin(*NOUNS))
-    sides = near.select("doc_id", "sent_idx", "lemma", F.col("tok_idx").alias("noun_idx"), F.explode(F.array_compact("_near")).alias("_n"))
-    step = F.col("_n.tok_idx") - F.col("noun_idx")
-    pairs = sides.select("doc_id", "sent_idx", "lemma", "noun_idx", "_n.other", "_n.other_tag", step.alias("_step")).filter(
-        F.abs("_step").between(1, reach) & ~F.col("other_tag").isin(*COMMON_TAGS) & (F.col("lemma") != F.col("other"))
-    )
-    first = F.when(F.col("_step") < 0, F.col("other")).otherwise(F.col("lemma"))
-    w1 = F.least("lemma", "other")
-    return pairs.select("doc_id", "sent_idx", w1.alias("w1"), F.greatest("lemma", "other").alias("w2"), (first == w1).alias("forward"), "noun_idx", F.abs("_step").alias("distance"))
+    w1 < w2, forward where w1 stands first. Direct neighbours stand in a token's own row; farther ones are looked up in
+    a window."""
+    one = lambda step, other, tag: F.struct(F.lit(step).alias("step"), other.alias("other"), tag.alias("tag"))
+    if reach == 1:
+        near, beside = tokens, [one(-1, F.col("prev_lemma"), F.col("prev_tag")), one(1, F.col("next_lemma"), F.col("next_tag"))]
+    else:
+        sentence = W.partitionBy("doc_id", "sent_idx").orderBy("tok_idx")
+        beside = [one(i * way, f("lemma", i).over(sentence), f("tag", i).over(sentence)) for i in range(1, reach + 1) for way, f in ((-1, F.lag), (1, F.lead))]
+        near, beside = tokens.withColumn("_near", F.array(*beside)), None
+    nouns = near.filter(F.col("tag").isin(*NOUNS)).select("doc_id", "sent_idx", "lemma", F.col("tok_idx").alias("noun_idx"), F.explode(F.array(*beside) if beside else F.col("_near")).alias("_n"))
+    pairs = nouns.filter(F.col("_n.other").isNotNull() & ~F.col("_n.tag").isin(*COMMON_TAGS) & (F.col("lemma") != F.col("_n.other")))
+    other, w1 = F.col("_n.other"), F.least("lemma", "_n.other")
+    first = F.when(F.col("_n.step") < 0, other).otherwise(F.col("lemma"))
+    return pairs.select("doc_id", "sent_idx", w1.alias("w1"), F.greatest("lemma", "_n.other").alias("w2"), (first == w1).alias("forward"), "noun_idx", F.abs("_n.step").alias("distance"))
 
 
 def bigrams(
@@ -95,10 +97,11 @@ def bigrams(
 
 
 def bigram_places(found: DataFrame, near: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, sent_idx, tok_idx): the sentences of each bigram found, with the place of its first noun there."""
-    keyed = found.select("w1", "w2", F.least("w1", "w2").alias("k1"), F.greatest("w1", "w2").alias("k2"))
-    first = near.groupBy(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "doc_id", "sent_idx").agg(F.min("noun_idx").alias("tok_idx"))
-    return keyed.join(first, ["k1", "k2"]).select("w1", "w2", "doc_id", "sent_idx", "tok_idx")
+    """(w1, w2, doc_id, sent_idx, tok_idx): the sentences of each bigram found, with the place of its first noun there.
+    found is a written table; other neighbours are left out before anything is grouped."""
+    keyed = if_few(found.select("w1", "w2", F.least("w1", "w2").alias("k1"), F.greatest("w1", "w2").alias("k2")))
+    own = near.select(F.col("w1").alias("k1"), F.col("w2").alias("k2"), "doc_id", "sent_idx", "noun_idx").join(keyed, ["k1", "k2"])
+    return own.groupBy("w1", "w2", "doc_id", "sent_idx").agg(F.min("noun_idx").alias("tok_idx"))
 
 
 def _follower(places: DataFrame) -> DataFrame:
@@ -130,10 +133,12 @@ def trigram_places(chained: DataFrame, places: DataFrame) -> DataFrame:
 
 def occurrences(tokens: DataFrame, places: DataFrame, of_trigrams: DataFrame) -> DataFrame:
     """(lemma, doc_id, sent_idx, tok_idx): the sentences of each aspect, its words joined by blanks, and the first place
-    there: nouns, bigrams and trigrams."""
-    nouns = tokens.filter(F.col("tag").isin(*NOUNS)).groupBy("lemma", "doc_id", "sent_idx").agg(F.min("tok_idx").alias("tok_idx"))
+    there: nouns, bigrams and trigrams. Rows are dealt out by document, so that what groups them by review needs no
+    other exchange."""
+    nouns = tokens.filter(F.col("tag").isin(*NOUNS)).select("lemma", "doc_id", "sent_idx", "tok_idx")
     named = lambda df, *words: df.select(F.concat_ws(" ", *words).alias("lemma"), "doc_id", "sent_idx", "tok_idx")
-    return nouns.unionByName(named(places, "w1", "w2")).unionByName(named(of_trigrams, "w1", "w2", "w3"))
+    every = nouns.unionByName(named(places, "w1", "w2")).unionByName(named(of_trigrams, "w1", "w2", "w3"))
+    return every.repartition("doc_id").groupBy("lemma", "doc_id", "sent_idx").agg(F.min("tok_idx").alias("tok_idx"))
 
 
 def rare(tokens: DataFrame, most_log_share: float = -7.5, excluded: DataFrame | None = None) -> DataFrame:

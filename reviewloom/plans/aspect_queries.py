@@ -11,6 +11,7 @@ from ..operators import aspects as G
 from ..operators import features as X
 from ..operators import sentiment as L
 from ..operators.containment import contained
+from ..operators.places import placed
 from ..operators.shared import written
 from .registry import Tables, query
 from .text_queries import TOK, W_, weights
@@ -80,17 +81,22 @@ def tokens(t: Tables) -> DataFrame:
     return A.token_table(t.documents)
 
 
+def tagged_words(t: Tables) -> DataFrame:
+    """(word, tag) of each token, for what needs no neighbours."""
+    return A.sentence_table(t.documents).select(F.explode("ts").alias("x")).select("x.word", "x.tag")
+
+
 def annotated(t: Tables) -> DataFrame:
-    """The token table, written once for what reads it several times."""
-    return written(A.with_starts(tokens(t)), "tokens")
+    """The tokens, from a table of sentences that is written once for what reads it several times."""
+    return A.token_rows(written(A.sentence_table(t.documents), "sentences"))
 
 
 class Mined:
-    """Tokens, neighbours, bigrams, trigrams and their places, each derived once."""
+    """Tokens, neighbours, bigrams, trigrams and their places; sentences, bigrams, their places and trigrams are written."""
 
     def __init__(self, t: Tables):
         self.tokens = annotated(t)
-        self.near = written(G.noun_neighbours(self.tokens), "neighbours")
+        self.near = G.noun_neighbours(self.tokens)
         self.bigrams = written(G.bigrams(self.tokens, 3, near=self.near), "bigrams")
         self.places = written(G.bigram_places(self.bigrams, self.near), "bigram-places")
         self.trigrams = written(G.trigrams(self.places, 0.09), "trigrams")
@@ -103,7 +109,8 @@ class Mined:
 
 
 def lexicon(words: DataFrame, col: str) -> DataFrame:
-    return L.hash_lexicon(words.select(F.col(col).alias("term")).distinct())
+    """The stand-in lexicon of the words, written, since joins count its rows first."""
+    return written(L.hash_lexicon(words.select(F.col(col).alias("term")).distinct()), "lexicon")
 
 
 @query("WITH " + SENT + " SELECT doc_id, sent_idx::INT AS sent_idx, sent FROM sents")
@@ -111,6 +118,14 @@ def sentence_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.posexplode(sentences(F.lower("text"))).alias("sent_idx", "sent"))
 
 
+@query("WITH " + SENT + " SELECT row_number() OVER (ORDER BY doc_id, sent_idx) - 1 AS number, doc_id, sent_idx::INT AS sent_idx, length(sent) AS n_chars FROM sents")
+def sentence_numbers(t: Tables) -> DataFrame:
+    """Sentences numbered through all documents."""
+    sents = t.documents.select("doc_id", F.posexplode(sentences(F.lower("text"))).alias("sent_idx", "sent"))
+    told = placed(sents.select("doc_id", "sent_idx", F.length("sent").cast("long").alias("n_chars")), [F.col("doc_id"), F.col("sent_idx")], name="number")
+    return told.withColumn("number", F.col("number") - 1)
+
+
 @query("WITH " + ANN + " SELECT doc_id, sent_idx, tok_idx, word, tag FROM tokens")
 def pos_tag(t: Tables) -> DataFrame:
     return tokens(t).select("doc_id", "sent_idx", "tok_idx", "word", "tag")
@@ -156,6 +171,12 @@ def aspect_bigrams(t: Tables) -> DataFrame:
     return G.bigrams(annotated(t), 2).drop("avg_distance").withColumn("score", F.round("score", 9))
 
 
+@query("WITH " + BI.replace("{least}", "2") + " SELECT w1, w2, n_sents, 1.0::DOUBLE AS avg_distance, round(score, 9) AS score FROM bi WHERE score >= 0.0003")
+def bigram_support(t: Tables) -> DataFrame:
+    """Bigrams by support, mean distance and association together."""
+    return G.bigrams(annotated(t), 2, 0.0003, max_avg_distance=2.0).select("w1", "w2", "n_sents", "avg_distance", F.round("score", 9).alias("score"))
+
+
 @query("WITH " + TRI + """ SELECT w1, w2, w3, any_value(n_common) AS n_common, count(DISTINCT (doc_id, sent_idx)) FILTER (doc_id IS NOT NULL) AS n_sents, count(DISTINCT doc_id) AS n_reviews
  FROM tri LEFT JOIN ts USING (w1, w2, w3) GROUP BY ALL""")
 def aspect_trigrams(t: Tables) -> DataFrame:
@@ -200,12 +221,12 @@ def bigram_subsumed(t: Tables) -> DataFrame:
 
 @query("WITH " + TLEX + " SELECT token, round(pos, 6) AS pos, round(neg, 6) AS neg, round(obj, 6) AS obj FROM lex")
 def lexicon_build(t: Tables) -> DataFrame:
-    return lexicon(tokens(t), "word").select("token", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "obj")])
+    return lexicon(tagged_words(t), "word").select("token", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "obj")])
 
 
 @query("WITH " + TLEX + " SELECT word FROM vocab ANTI JOIN lex ON word = token")
 def lexicon_noscore(t: Tables) -> DataFrame:
-    words = tokens(t).select("word").distinct()
+    words = written(tagged_words(t).select("word").distinct(), "words")
     return words.join(lexicon(words, "word").select(F.col("token").alias("word")), "word", "left_anti")
 
 
@@ -270,20 +291,20 @@ _SENSES = """byte AS (SELECT word, p AS place, md5(word || '#' || p) AS h FROM (
  SELECT token, place::INT AS place, cls, number::INT AS number, round(pos, 6) AS pos, round(neg, 6) AS neg FROM r WHERE r = 1""")
 def sense_choice(t: Tables) -> DataFrame:
     """The sense of each word that counts: the first adjective's or satellite's of number 1, else the first."""
-    senses = L.hash_senses(tokens(t).select(F.col("word").alias("term")).distinct())
+    senses = L.hash_senses(tagged_words(t).select(F.col("word").alias("term")).distinct())
     return L.preferred_sense(senses).select("token", "place", "cls", "number", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"))
 
 
 def _aspect_reviews(t: Tables) -> DataFrame:
-    """Each aspect (noun, bigram or trigram) in each review: mean polarity of its sentences, and their words' signed lexicon scores as one sum."""
+    """Each aspect (noun, bigram or trigram) in each review: mean polarity of its sentences, and their words' signed
+    lexicon scores as one sum. A review's sentence scores are one map, so that aspects meet them by document."""
     m = Mined(t)
-    lex = lexicon(m.tokens, "word")
-    signed = L.signed(F.col("pos"), F.col("neg"), F.col("obj"))
-    pol = L.sentence_polarity(m.tokens, lex)
-    sums = m.tokens.join(lex.select(F.col("token").alias("word"), signed.alias("s")), "word").groupBy("doc_id", "sent_idx").agg(F.sum("s").alias("lx"))
-    of_sentence = written(pol.join(sums, ["doc_id", "sent_idx"], "left"), "sentence-scores")
-    per = m.occurrences().join(of_sentence, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id").agg(
-        (F.floor(F.avg("polarity") * 1e6) / 1e6).alias("blob"), F.count("*").alias("n_sents"), F.min("sent_idx").alias("first_sent"), F.sum(F.coalesce("lx", F.lit(0.0))).alias("lx")
+    scores = L.sentence_scores(m.tokens, lexicon(m.tokens, "word"))
+    of_review = scores.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("sent_idx", F.struct("polarity", "signed")))).alias("scores"))
+    score = F.element_at("scores", F.col("sent_idx"))
+    scored = m.occurrences().join(of_review, "doc_id").select("lemma", "doc_id", "sent_idx", score["polarity"].alias("polarity"), score["signed"].alias("signed"))
+    per = scored.groupBy("lemma", "doc_id").agg(
+        (F.floor(F.avg("polarity") * 1e6) / 1e6).alias("blob"), F.count("*").alias("n_sents"), F.min("sent_idx").alias("first_sent"), F.sum("signed").alias("lx")
     )
     per = per.withColumn("rating", F.col("doc_id") % 5 + 1)
     return per.withColumn("class", L.polarity_class(F.col("rating"), F.col("blob"), F.col("lx")))
@@ -302,7 +323,7 @@ def aspect_texts(t: Tables) -> DataFrame:
     """The sentences of each aspect in each review as one text, and the character at which the aspect stands first."""
     m = Mined(t)
     sents = t.documents.select("doc_id", F.posexplode(sentences(F.lower("text"))).alias("sent_idx", "sent"))
-    starts = m.tokens.select("doc_id", "sent_idx", "tok_idx", "start")
+    starts = A.with_starts(m.tokens).select("doc_id", "sent_idx", "tok_idx", "start")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sent"))), lambda s: s["sent"]), "")
     per = m.occurrences().join(starts, ["doc_id", "sent_idx", "tok_idx"]).join(sents, ["doc_id", "sent_idx"]).groupBy("lemma", "doc_id")
     told = per.agg(text.alias("text"), F.min("sent_idx").alias("first_sent"), F.min_by("start", "sent_idx").alias("first_char"))
@@ -318,7 +339,7 @@ def aspect_texts(t: Tables) -> DataFrame:
  SELECT doc_id, sent_idx, regexp_replace(regexp_replace(CASE WHEN length(sent) <= 80 THEN sent ELSE coalesce(part, '') END, '^[ \\t\\n\\r\\f\\v]+', ''), '[ \\t\\n\\r\\f\\v]+$', '') AS shown FROM b""")
 def snippets(t: Tables) -> DataFrame:
     """Each sentence, where it is long, cut down to the words around its first noun."""
-    first = annotated(t).filter(F.col("tag").isin(*A.NOUNS)).groupBy("doc_id", "sent_idx").agg(F.min("start").alias("at"))
+    first = A.with_starts(tokens(t)).filter(F.col("tag").isin(*A.NOUNS)).groupBy("doc_id", "sent_idx").agg(F.min("start").alias("at"))
     sents = t.documents.select("doc_id", F.posexplode(sentences(F.lower("text"))).alias("sent_idx", "sent"))
     return sents.join(first, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", snippet(F.col("sent"), F.col("at")).alias("shown"))
 
