@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 # Endings and what stands for them, by word class, in the order in which they are tried.
 DETACHED = {
     "n": (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y")),
@@ -20,48 +22,51 @@ IRREGULAR = (
 )
 
 
-def _shortened(forms: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    """Each form with each ending that it has taken off, in order."""
-    one = lambda f, old, new: F.when(f.endswith(old), F.concat(F.left(f, F.length(f) - len(old)), F.lit(new)))
-    each = lambda f: F.array_compact(F.array(*[one(f, old, new) for old, new in rules]))
-    return F.flatten(F.transform(forms, each))
-
-
-def _candidates(word: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    """(round, form) of a word: itself and what one ending less gives in round 1, then what another one gives."""
-    first = F.array(word)
-    none = F.array().cast("array<struct<round:int,form:string>>")
-    if not rules:
-        return F.array(F.struct(F.lit(1).alias("round"), word.alias("form")))
-    tagged = lambda forms, n: F.transform(forms, lambda f: F.struct(n.cast("int").alias("round"), f.alias("form")))
+def _shortened(forms: DataFrame) -> DataFrame:
+    """forms (word, cls, form, path) with each ending that a form has taken off; path gains the rule's number."""
+    form = F.col("form")
+    one = lambda i, old, new: F.when(form.endswith(old), F.struct(F.concat(F.left(form, F.length(form) - len(old)), F.lit(new)).alias("form"), F.concat("path", F.lit(str(i))).alias("path")))
+    found = F.lit(None).cast("array<struct<form:string,path:string>>")
+    for cls, rules in DETACHED.items():
+        if rules:
+            found = F.when(F.col("cls") == cls, F.array_compact(F.array(*[one(i, old, new) for i, (old, new) in enumerate(rules)]))).otherwise(found)
+    return forms.select("word", "cls", F.explode(found).alias("f")).select("word", "cls", "f.form", "f.path")
 
-    def again(state: Column, n: Column) -> Column:
-        more = _shortened(state["forms"], rules)
-        return F.struct(more.alias("forms"), F.concat(state["all"], tagged(more, n)).alias("all"))
 
-    begin = F.struct(first.alias("forms"), F.concat(none, tagged(first, F.lit(1))).alias("all"))
-    # each round takes a character off at least
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word))), begin, again)["all"]
+def _best(forms: DataFrame, has: DataFrame) -> DataFrame:
+    """(word, cls, lemma): the shortest form that the dictionary has, of equally long ones the first."""
+    known = forms.join(has, ["form", "cls"], "left_semi")
+    return known.groupBy("word", "cls").agg(F.min_by("form", F.struct(F.length("form").alias("n"), "path")).alias("lemma"))
 
 
 def lemmatized(words: DataFrame, dictionary: DataFrame, irregular: DataFrame | None = None) -> DataFrame:
     """(word, cls, lemma) for each pair of words (word, cls), cls being n, v, a or r.
 
-    Where irregular (word, cls, lemma) has the word, its lemmas there and the word itself are candidates, else what
-    endings give: those of the first round of which dictionary (word, cls) has one. The shortest that the dictionary has
-    is the lemma, of equally long ones the first; a word without any, or of another class, stays as it is.
+    Where irregular (word, cls, lemma) has the word, its lemmas there and the word itself are candidates, else the word
+    and what one ending less gives; while the dictionary (word, cls) has none of a word's candidates, another ending is
+    taken off. The shortest that it has is the lemma, of equally long ones the first; a word without any, or of another
+    class, stays as it is. Each round is a join over the words that are left; few are after the first.
     """
-    pairs = words.select("word", "cls").distinct()
-    forms = F.lit(None).cast("array<struct<round:int,form:string>>")
-    for cls, rules in DETACHED.items():
-        forms = F.when(F.col("cls") == cls, _candidates(F.col("word"), rules)).otherwise(forms)
-    by_rule = pairs.select("word", "cls", F.posexplode(forms).alias("place", "c")).select("word", "cls", F.col("c.round").alias("round"), "place", F.col("c.form").alias("form"))
+    pairs = written(words.select("word", "cls").distinct(), "lemma-words")
+    has = written(dictionary.select(F.col("word").alias("form"), "cls").distinct(), "lemma-dictionary")
+    regular = pairs.filter(F.col("word").isNotNull() & F.col("cls").isin(*DETACHED))
+    itself = lambda df: df.select("word", "cls", F.col("word").alias("form"), F.lit("").alias("path"))
+    done = []
     if irregular is not None:
         odd = irregular.groupBy("word", "cls").agg(F.sort_array(F.collect_set("lemma")).alias("lemmas"))
-        known = pairs.join(odd, ["word", "cls"]).select("word", "cls", F.lit(1).alias("round"), F.posexplode(F.concat(F.array("word"), "lemmas")).alias("place", "form"))
-        by_rule = by_rule.join(odd, ["word", "cls"], "left_anti").unionByName(known)
-    has = dictionary.select(F.col("word").alias("form"), "cls").distinct()
-    best = by_rule.join(has, ["form", "cls"], "left_semi").groupBy("word", "cls").agg(F.min_by("form", F.struct("round", F.length("form").alias("n"), "place")).alias("lemma"))
+        known = regular.join(odd, ["word", "cls"]).select("word", "cls", F.posexplode("lemmas").alias("i", "form")).select("word", "cls", "form", F.lpad(F.col("i").cast("string"), 3, "0").alias("path"))
+        done.append(written(_best(itself(regular.join(odd, ["word", "cls"], "left_semi")).unionByName(known), has), "lemma-round"))
+        regular = regular.join(odd, ["word", "cls"], "left_anti")
+    forms = _shortened(itself(regular))
+    done.append(written(_best(itself(regular).unionByName(forms), has), "lemma-round"))
+    while True:
+        forms = written(_shortened(forms.join(done[-1], ["word", "cls"], "left_anti")), "lemma-forms")
+        if forms.isEmpty():
+            break
+        done.append(written(_best(forms, has), "lemma-round"))
+    best = done[0]
+    for d in done[1:]:
+        best = best.unionByName(d)
     return pairs.join(best, ["word", "cls"], "left").select("word", "cls", F.coalesce("lemma", "word").alias("lemma"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.parsing import word_class
 from ..operators import lemmas as L
 from ..operators.segment import han_words
-from .aspect_queries import ANN, annotated, tokens
+from ..operators.shared import written
+from .aspect_queries import ANN, annotated, tagged_words
 from .registry import Tables, query
 
 #: Words of a small dictionary with frequencies, and phrases that can be cut in several ways.
@@ -53,7 +54,7 @@ _LEMMAS = ANN + f""", rule(cls, o, old, new) AS (VALUES {_RULES}), irr(word, cls
 
 
 def _lemmatized(t: Tables, a: DataFrame, default: str | None = None) -> DataFrame:
-    seen = a.select("word", "tag").distinct().select("word", "tag", word_class(F.col("tag")).alias("cls"))
+    seen = written(a.select("word", "tag").distinct().select("word", "tag", word_class(F.col("tag")).alias("cls")), "tagged-words")
     irregular = t.spark.createDataFrame(L.IRREGULAR, "word string, cls string, lemma string")
     as_any = seen.filter("tag = 'NN'").select("word", F.explode(F.array(*[F.lit(c) for c in "nva"])).alias("cls"))
     dictionary = as_any.unionByName(seen.filter("tag = 'JJ'").select("word", "cls")).unionByName(irregular.select(F.col("lemma").alias("word"), "cls"))
@@ -67,7 +68,7 @@ _CHOSEN = " SELECT word, cls, coalesce(form, word) AS lemma FROM voc LEFT JOIN (
 @query("WITH RECURSIVE " + _LEMMAS + _CHOSEN)
 def lemmas(t: Tables) -> DataFrame:
     """The lemma of each word by its word class."""
-    return _lemmatized(t, tokens(t))
+    return _lemmatized(t, tagged_words(t))
 
 
 _OF_TOKEN = """, lem AS ({}), cl AS (SELECT word, CASE left(tag, 2) WHEN 'NN' THEN 'n' WHEN 'VB' THEN 'v' WHEN 'JJ' THEN 'a' WHEN 'RB' THEN 'r' END AS cls FROM tokens)
