@@ -18,7 +18,8 @@ def lemma_counts(tokens: DataFrame) -> DataFrame:
 
 
 def sentence_count(tokens: DataFrame) -> DataFrame:
-    return tokens.select("doc_id", "sent_idx").distinct().agg(F.count("*").alias("n_sent"))
+    """Sentences that have a token, by their first ones."""
+    return tokens.filter("tok_idx = 0").agg(F.count("*").alias("n_sent"))
 
 
 def governed(tokens: DataFrame) -> DataFrame:
