@@ -52,7 +52,8 @@ def _runs(keep_max: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, text, key = b.column(0), b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            ids = b.column(0).take(pa.array(np.arange(b.num_rows)))  # a copy: a slice would hold its batch's texts too
+            text, key = b.column(1), b.column(2).to_numpy(zero_copy_only=False)
             if first_key is None:
                 first_key = key[0]
             same = np.zeros(len(ids), bool)
@@ -62,7 +63,7 @@ def _runs(keep_max: bool):
             if len(starts) == 0 or starts[0] > 0:
                 run.ids.append(ids.slice(0, starts[0] if len(starts) else len(ids)))
             done: list[_Run] = []
-            for s, e in zip(starts, [*starts[1:], len(ids)], strict=True):
+            for s, e in zip(starts, [*starts, len(ids)][1:], strict=True):  # no starts: the open run holds the whole batch
                 if run is not None:
                     closed.append(run)
                     if closed[-1].key != key[s]:

@@ -117,6 +117,15 @@ def test_dedup_of_a_group_over_many_partitions(spark):
     assert all(r.kept and r.group_size == 1 for r in rows if r.doc_id % 3 == 0)
 
 
+def test_dedup_of_copies_that_fill_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rows = exact_dedup(spark.createDataFrame([(i, "copy" if i < 9 else f"t{i}") for i in range(12)], "doc_id long, text string").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in rows} == {(i, 0, 9) if i < 9 else (i, i, 1) for i in range(12)}
+
+
 def test_sharding(docs, none):
     text, rows = by_id(edge_rows()), shard_documents(docs, 3).collect()
     where, slots = {}, defaultdict(list)
