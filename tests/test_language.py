@@ -187,3 +187,10 @@ def test_file_order_over_several_splits(spark, tmp_path):
 def test_classes_of_tags_and_quotes(spark):
     row = spark.range(1).select(*[P.word_class(F.lit(t)).alias(t) for t in ("JJR", "RB", "NNS", "VBZ", "DT")], P.plain_quotes(F.lit("‘a’ “b”")).alias("q"), T.strip(F.lit("\t x\n")).alias("s"), P.report_line((F.lit("abc"), 5), (F.lit(12), 1)).alias("r")).first()
     assert tuple(row) == ("a", "r", "n", "v", None, "'a' \"b\"", "x", "abc  1")
+
+
+def test_noun_sums_need_no_exchange_by_document(spark):
+    docs = spark.createDataFrame([(i, "The room is spacious. Rooms and rooms, good view.") for i in range(20)], "doc_id long, text string")
+    found = G.unigrams(A.token_table(docs.repartition("doc_id")), 0.0, 0.0)
+    assert "doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.lemma, r.n_occ, r.n_sents, r.n_reviews, r.a_share) for r in found.collect()} >= {("room", 60, 40, 20, 1.0)}
