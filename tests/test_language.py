@@ -194,3 +194,8 @@ def test_noun_sums_need_no_exchange_by_document(spark):
     found = G.unigrams(A.token_table(docs.repartition("doc_id")), 0.0, 0.0)
     assert "doc_id" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.lemma, r.n_occ, r.n_sents, r.n_reviews, r.a_share) for r in found.collect()} >= {("room", 60, 40, 20, 1.0)}
+
+
+def test_governors_are_derived_once(spark):
+    tokens = A.token_table(spark.createDataFrame([(1, "the room is spacious")], "doc_id long, text string"))
+    assert " OR isnotnull(" not in G.governed(tokens)._jdf.queryExecution().optimizedPlan().toString()
