@@ -16,6 +16,7 @@ from reviewloom.operators import sentiment as S
 from reviewloom.operators.containment import contained
 from reviewloom.operators.lemmas import IRREGULAR, lemmatized
 from reviewloom.operators.segment import han_words
+from reviewloom.operators.shared import kept_apart, met, sieved
 from reviewloom.sources import files
 
 
@@ -199,3 +200,36 @@ def test_noun_sums_need_no_exchange_by_document(spark):
 def test_governors_are_derived_once(spark):
     tokens = A.token_table(spark.createDataFrame([(1, "the room is spacious")], "doc_id long, text string"))
     assert " OR isnotnull(" not in G.governed(tokens)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rare_keys_are_exchanged_and_frequent_ones_not(spark):
+    rows = spark.createDataFrame([(i % 50, i) for i in range(1000)], "k long, v long")
+    table = spark.createDataFrame([(k, f"x{k}", k) for k in range(0, 80, 2)], "k long, name string, n long")
+    here, moved = met(rows, table, ["k"], "n", most=30)
+    assert {r.k for r in moved.collect()} == set(range(0, 20, 2)) and {r.k for r in here.collect()} == set(range(20, 50, 2))
+    assert sorted(map(tuple, here.unionByName(moved).collect())) == sorted((i % 50, i, f"x{i % 50}") for i in range(1000) if i % 2 == 0)
+    assert sieved(rows, table.filter("k = 4"), ["k"]).count() < 500 and met(rows, table, ["k"], "n")[1] is None
+
+
+def test_aspects_are_grouped_by_review_in_their_place(spark):
+    docs = spark.createDataFrame([(i, "alpha beta gamma. the alpha beta. good room") for i in range(20)], "doc_id long, text string")
+    tokens = A.token_rows(kept_apart("sentences", 3, "doc_id", A.sentence_table(docs.repartition(3, "doc_id"))))
+    near = G.noun_neighbours(tokens)
+    found = G.bigrams(tokens, 2, near=near)
+    places = G.bigram_places(found.localCheckpoint(), near, 3)
+    where = G.trigram_places(G.trigrams(places).localCheckpoint(), places, 3)
+    for rows, lemma in zip(G.aspect_rows(tokens, places, where), ("room", "alpha beta", "alpha beta gamma"), strict=True):
+        per = rows.groupBy("lemma", "doc_id").count()
+        assert "Exchange" not in per._jdf.queryExecution().executedPlan().toString() and per.filter(F.col("lemma") == lemma).count() == 20
+
+
+def test_rare_words_of_a_lexicon_count_like_frequent_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"good rooms and w{i % 7} never w{i % 5}. greatly nicely badly slowly surely x{i}") for i in range(40)], "doc_id long, text string")
+    tokens = A.token_table(docs)
+    counts = tokens.groupBy(F.col("word").alias("term")).agg(F.count("*").alias("n"))
+    lexicon = S.hash_lexicon(counts).localCheckpoint()
+    weights = counts.select(F.lit(1).alias("doc_id"), "term", F.lit(2.0).alias("w"))
+    told = lambda: [sorted(map(tuple, f.collect())) for f in (S.sentence_scores(tokens, lexicon), S.noun_scores(tokens, lexicon, A.NOUNS), S.all_words(weights, lexicon), S.objective_words(tokens, lexicon, S.sentence_polarity(tokens, lexicon)))]
+    whole = told()
+    monkeypatch.setattr("reviewloom.operators.shared.BROADCAST_ROWS", 3)
+    assert told() == whole and all(whole) and len(whole[2]) == counts.count()
