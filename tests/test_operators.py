@@ -109,3 +109,13 @@ def test_places_by_ranges(spark):
     assert placed(df.filter("v < 0"), [F.col("v")]).collect() == []
     few = spark.createDataFrame([(3.0, "c"), (None, "a"), (1.0, "b")], "x double, w string")
     assert [(r.w, r["n"]) for r in placed(few, [F.col("x")], name="n").orderBy("n").collect()] == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_weights_of_rare_terms_need_no_exchange_by_term(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common words aa{i % 9} bb{i % 5} bb{i % 5} cc{i}") for i in range(60)] + [(None, "aa1 bb1 common"), (99, None)], "doc_id long, text string")
+    told = lambda: sorted(((r.doc_id or -1, r.term, round(r.w, 9)) for r in features.tfidf(docs).collect()))
+    whole = told()
+    monkeypatch.setattr("reviewloom.operators.shared.BROADCAST_ROWS", 3)
+    plan = features.tfidf(docs)._jdf.queryExecution().executedPlan().toString()
+    # the counts of all terms are joined with a broadcast table, and only rare terms are exchanged by term
+    assert told() == whole and len(whole) == 60 * 5 + 3 and plan.count("Exchange hashpartitioning(term") <= 2 and "Exchange hashpartitioning(doc_id" in plan
