@@ -33,8 +33,9 @@ def components(links: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     edges = compact(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
     while True:
-        last, edges = edges, compact(_small_star(_large_star(edges)), "edges")
-        discarded(last)
+        large = compact(_large_star(edges), "edges-large")  # the small star reads it three times
+        last, edges = edges, compact(_small_star(large), "edges")
+        discarded(last, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

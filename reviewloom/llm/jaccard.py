@@ -158,7 +158,7 @@ def _with_sets(pairs: DataFrame, made: DataFrame, side: str, other: str, tempora
     """pairs with the set of one side, s<side>. A set that many pairs ask for has a copy for each _PAIRS_A_COPY of
     them, so that no task gets all pairs of a leader."""
     often = pairs.groupBy(side).agg(F.ceil(F.count("*") / _PAIRS_A_COPY).cast("int").alias("copies")).filter("copies > 1")
-    often = held(often)
+    often = compact(often, "jaccard-often")
     temporary.append(often)
     often = few(often)
     sets = (
@@ -172,10 +172,13 @@ def _with_sets(pairs: DataFrame, made: DataFrame, side: str, other: str, tempora
 
 
 def _verified(rule: _Rule, src: DataFrame, every: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (x, y, star) with linked and, for stars, what y's set has more and less than x's; sets are made anew for the texts in pairs."""
-    rows = held(pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct())
-    wanted = held(every.select("row", "doc_id", *_KEY).join(few(rows), "row", "left_semi"))
-    ids = held(wanted.select(F.col("doc_id").alias("id")).distinct())
+    """pairs (x, y, star) with linked and, for stars, what y's set has more and less than x's; sets are made anew for the texts in pairs.
+
+    Tables of numbers are written, not held: a held table's plan is part of every plan above it, once for each use, and
+    the driver keeps all of them with their metrics."""
+    rows = compact(pairs.select(F.col("x").alias("row")).union(pairs.select("y")).distinct(), "jaccard-rows")
+    wanted = compact(every.select("row", "doc_id", *_KEY).join(few(rows), "row", "left_semi"), "jaccard-wanted")
+    ids = compact(wanted.select(F.col("doc_id").alias("id")).distinct(), "jaccard-ids")
     set_schema = pa.schema([("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("tokens", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +188,7 @@ def _verified(rule: _Rule, src: DataFrame, every: DataFrame, pairs: DataFrame) -
     asked = src.join(few(ids), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
     keyed = asked.mapInArrow(sets, "n int, sig1 long, sig2 long, tokens binary").join(few(wanted).select("row", *_KEY), _KEY)
     made = held(keyed.select("row", "tokens").dropDuplicates(["row"]))
-    temporary = [rows, wanted, ids, made]
+    temporary = [rows, wanted, ids]
     both = _with_sets(_with_sets(pairs, made, "x", "y", temporary), made, "y", "x", temporary)
     out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("star", pa.bool_()), ("linked", pa.bool_()), ("n", pa.int32()), ("more", pa.list_(pa.int64())), ("less", pa.list_(pa.int64()))])
 
@@ -201,8 +204,8 @@ def _verified(rule: _Rule, src: DataFrame, every: DataFrame, pairs: DataFrame) -
         return in_batches(rows(), out)
 
     seen = written(both.select("x", "y", "star", "sx", "sy").mapInArrow(compared, "x long, y long, star boolean, linked boolean, n int, more array<long>, less array<long>"), "jaccard-compared")
-    for df in temporary:
-        df.unpersist()
+    made.unpersist()
+    discarded(*temporary)
     return seen
 
 

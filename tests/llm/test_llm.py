@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reviewloom.llm import jaccard
 from reviewloom.llm import queries as Q
 from reviewloom.llm.bpe import concatenated, decode, encode, tree_ids
 from reviewloom.llm.common import new_path
@@ -289,6 +290,21 @@ def test_near_duplicates(spark, docs, none, n, percent, bucket):
         assert near_duplicates(none)[0].count() == 0
 
 
+def test_near_duplicates_plans_stay_small(spark, monkeypatch):
+    """What a plan reads is named once: no table that the driver holds is planned again within another."""
+    plans = []
+
+    def seen(df, name, f=jaccard.written):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan")))
+        return f(df, name)
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    texts = [" ".join(f"v{i}" if i == k else f"w{k}" for k in range(40)) for i in range(0, 40, 8)]
+    near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 60, bucket=2)
+    assert [n for name, n in plans if name == "jaccard-compared"]
+    assert max(n for _, n in plans) <= 2
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(50, 80)] + [(rng.randint(100, 200), rng.randint(100, 200)) for _ in range(60)] + [(5, 5)]
