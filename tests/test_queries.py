@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reviewloom.plans import QUERIES, SQL
@@ -41,5 +42,18 @@ def test_matches_sql(spark, duck, name):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(plain(r[i]) for i in at)) for r in want.fetchall())
 
 
+def test_rare_unigrams_of_repeated_and_absent_ids(spark, tmp_path):
+    """Rows of one doc_id are one review, rows without are none; no token is made twice."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    path = f"{tmp_path}/documents.parquet"
+    docs.union(docs.limit(5)).union(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(path)
+    got = QUERIES["rare_unigrams"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = con.sql(SQL["rare_unigrams"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
