@@ -24,6 +24,8 @@ ROUNDED = 0.1
 HISTORY = 5
 #: Documents a block; slices of a gradient.
 _BLOCK, _SLICES = 512, 8
+#: Groups of models of similar depth that are multiplied at a time; tasks a core that sum a step.
+_GROUPS, _TASKS = 8, 2
 #: Rows of the table of ranked terms that is broadcast.
 MOST_TERMS = 1_000_000
 
@@ -92,14 +94,22 @@ def hinge(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(short > ROUNDED, short - ROUNDED / 2, near * near * (ROUNDED / 2)), -near
 
 
-def summed(blocks: DataFrame, models: list[np.ndarray], held_out: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grouped(depths: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Columns of models of similar depth, and the largest depth of each group."""
+    return [(cols, int(depths[cols].max())) for cols in np.array_split(np.argsort(depths, kind="stable"), _GROUPS) if len(cols)]
+
+
+def summed(blocks: DataFrame, models: list[np.ndarray], held_out: list[np.ndarray], depths: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(losses, gradients) of each ranking's models over the documents that are not in a model's held-out fold: one job.
 
     models are matrices of (terms + 1) rows, the last one the intercepts. Each task sends one sum of each slice of rows,
-    and those are added up by slice.
+    and those are added up by slice. A sum is as large for few documents as for many, so there are as many tasks as cores
+    can take, however many parts the documents have. depths are the terms that each model has, if not all: rows from
+    there on are not multiplied, and gradients there may be zero.
     """
     spark, most = blocks.sparkSession, models[0].shape[0] - 1
     shapes = [(m.shape[0] + 1, m.shape[1]) for m in models]
+    groups = [_grouped(np.full(m.shape[1], most) if depths is None else depths[i]) for i, m in enumerate(models)]
     sent = spark.sparkContext.broadcast(([m.astype(np.float32) for m in models], held_out))
     cut = lambda rows: np.linspace(0, rows, _SLICES + 1).astype(int)
     schema = "ranking int, slice int, sums binary"
@@ -109,11 +119,15 @@ def summed(blocks: DataFrame, models: list[np.ndarray], held_out: list[np.ndarra
         total = [np.zeros(s) for s in shapes]
         for b in batches:
             for y, fold, xs in _opened(b, len(weights), most):
-                for own, x, w, out in zip(total, xs, weights, out_of, strict=True):
-                    loss, slope = hinge(y[:, None] * (x @ w))
-                    train = fold[:, None] != out[None, :]
-                    own[-1] += (loss * train).sum(axis=0, dtype=np.float64)
-                    own[:-1] += x.T @ (slope * train * y[:, None])
+                for own, x, w, out, alike in zip(total, xs, weights, out_of, groups, strict=True):
+                    for cols, deep in alike:
+                        terms = x[:, :deep]
+                        loss, slope = hinge(y[:, None] * (terms @ w[:deep, cols] + w[-1, cols]))
+                        train = fold[:, None] != out[None, cols]
+                        own[-1, cols] += (loss * train).sum(axis=0, dtype=np.float64)
+                        pull = slope * train * y[:, None]
+                        own[:deep, cols] += terms.T @ pull
+                        own[-2, cols] += pull.sum(axis=0, dtype=np.float64)
         rows = [(r, s, own[a:z].tobytes()) for r, own in enumerate(total) for s, (a, z) in enumerate(zip(cut(len(own))[:-1], cut(len(own))[1:], strict=True))]
         ranking, part, sums = zip(*rows, strict=True)
         yield pa.RecordBatch.from_pydict({"ranking": pa.array(ranking, pa.int32()), "slice": pa.array(part, pa.int32()), "sums": pa.array(sums, pa.binary())})
@@ -122,7 +136,7 @@ def summed(blocks: DataFrame, models: list[np.ndarray], held_out: list[np.ndarra
         sums = sum(np.frombuffer(x) for x in group.column("sums").to_pylist())
         return group.slice(0, 1).set_column(2, "sums", pa.array([sums.tobytes()], pa.binary()))
 
-    found = {(r["ranking"], r["slice"]): np.frombuffer(r["sums"]) for r in blocks.mapInArrow(run, schema).groupBy("ranking", "slice").applyInArrow(add, schema).collect()}
+    found = {(r["ranking"], r["slice"]): np.frombuffer(r["sums"]) for r in blocks.coalesce(_TASKS * spark.sparkContext.defaultParallelism).mapInArrow(run, schema).groupBy("ranking", "slice").applyInArrow(add, schema).collect()}
     sent.destroy()
     whole = [np.concatenate([found.get((i, s), np.zeros(0)) for s in range(_SLICES)]).reshape(shape) if found else np.zeros(shape) for i, shape in enumerate(shapes)]
     return [(m[-1], m[:-1]) for m in whole]
@@ -254,7 +268,8 @@ def cross_validated(
     held_out = [np.repeat(np.arange(n_folds), len(ks))] * len(names)  # a fold's models stand side by side, in the order of ks
     mask = np.tile(np.array(ks), n_folds)[None, :] > np.arange(most + 1)[:, None]
     mask[-1] = True
-    models = fitted(lambda m, h: summed(blocks, m, h), [mask.astype(float)] * len(names), held_out, c, max_iter, tolerance)
+    told = [np.stack([h, np.tile(np.array(ks), n_folds)], axis=1) for h in held_out]  # fold and depth of each model
+    models = fitted(lambda m, h: summed(blocks, m, [x[:, 0] for x in h], [x[:, 1] for x in h]), [mask.astype(float)] * len(names), told, c, max_iter, tolerance)
     margins = _margins(spark, blocks, models, held_out, ks)
     blocks.unpersist()
     means = fold_scores(margins).groupBy("ranking", "k").agg(*[F.avg(x).alias(x) for x in ("accuracy", "balanced_accuracy", "roc_auc")])

@@ -109,3 +109,14 @@ def test_whole_grid(small):
     assert got[("a", 4)][2] > 0.85 and got[("a", 4)][2] > got[("b", 4)][2]  # t0 and t3 decide
     with pytest.raises(ValueError):
         M.prefix_rows(w, list(rankings.values()), y, 10**6)
+
+
+def test_sums_of_shallow_models(small):
+    """Terms below a model's depth are not multiplied; losses and the gradients of its own terms are the same."""
+    blocks, rng = M._blocks(small[2].repartition(3), 2), np.random.default_rng(5)
+    depths, out = np.array([1, 6, 3, 2, 6]), np.array([0, 1, 2, 0, 1])
+    kept = np.vstack([depths[None, :] > np.arange(6)[:, None], np.ones((1, 5), bool)])
+    w = rng.normal(size=(7, 5)) * kept
+    whole, cut = M.summed(blocks, [w, w], [out, out]), M.summed(blocks, [w, w], [out, out], [depths, depths])
+    for (losses, gradients), (want, slopes) in zip(cut, whole, strict=True):
+        assert np.allclose(losses, want, rtol=1e-5) and np.allclose(gradients, slopes * kept, rtol=1e-4, atol=1e-4)
