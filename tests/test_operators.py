@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import text as T
 from reviewloom.operators import aspects, annotate, features, records, rowstats
-from reviewloom.operators.sentiment import polarity_class
+from reviewloom.operators.sentiment import by_sentence, polarity_class
+from reviewloom.plans import QUERIES
 from reviewloom.sources import files
 from reviewloom.streaming.crawl import read_status, status_stream
 
@@ -119,3 +120,18 @@ def test_weights_of_rare_terms_need_no_exchange_by_term(spark, monkeypatch):
     plan = features.tfidf(docs)._jdf.queryExecution().executedPlan().toString()
     # the counts of all terms are joined with a broadcast table, and only rare terms are exchanged by term
     assert told() == whole and len(whole) == 60 * 5 + 3 and plan.count("Exchange hashpartitioning(term") <= 2 and "Exchange hashpartitioning(doc_id" in plan
+
+
+def test_scores_by_sentence_with_gaps(spark):
+    """A sentence's values stand in its own place, where sentences before it have none too."""
+    rows = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.5), (2, 3, 2.0), (2, 1, None)], "doc_id long, sent_idx int, p double")
+    got = rows.groupBy("doc_id").agg(by_sentence("p").alias("a")).orderBy("doc_id").collect()
+    assert [[x and x.p for x in r.a] for r in got] == [[0.5, 1.5], [None, None, None, 2.0]]
+    assert got[1].a[0] is None and got[1].a[1] is not None
+
+
+def test_aspects_leave_the_sentences_of_their_review_behind(spark, sf="/root/testdata/sf0.001"):
+    """Nothing above the explosion into aspects has a review's sentences, which a row for each aspect would repeat."""
+    plan = QUERIES["aspect_texts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Generate explode(" in line and "sents" in line.split("[", 1)[1].split("]")[0]]
+    assert "Generate explode(transform(" in plan
